@@ -38,8 +38,8 @@ from .storage import stored
 from .text import mix, slices, texts_of, word_hashes, words_of
 
 #: A bigram's or trigram's hash is sent with so many bits more than number the words of the corpus,
-#: so one in 2**18 counts at most is another's too; a word's hash is sent whole.
-SPARE_BITS = 18
+#: so about one in 2**20 counts at most is another's too; a word's hash is sent whole.
+SPARE_BITS = 20
 #: Quantisation: codes are multiples of 1/4096 of log10, from 0 to -16.
 CODES_PER_UNIT = 4096
 

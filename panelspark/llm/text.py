@@ -110,9 +110,28 @@ class Words(NamedTuple):
     doc: np.ndarray  # document of each word
 
 
-def words_of(t: Texts) -> Words:
+def fold(data: np.ndarray) -> np.ndarray:
+    """Lower case for A-Z and for the capital letters of Latin-1 (two bytes of UTF-8: C3 and 80 to 9E)."""
+    out = LOWER[data]
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    at = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+    out[at] += 0x20
+    return out
+
+
+def punctuation_table() -> np.ndarray:
+    """Bytes between words where only letters, digits and non-ASCII characters count."""
+    t = np.ones(256, bool)
+    t[48:58] = t[65:91] = t[97:123] = t[128:] = False
+    return t
+
+
+PUNCTUATION = punctuation_table()
+
+
+def words_of(t: Texts, space: np.ndarray = SPACE) -> Words:
     n = len(t.data)
-    solid = ~SPACE[t.data]
+    solid = ~space[t.data]
     edge = np.zeros(n + 1, bool)
     edge[t.offsets] = True
     before = np.empty(n, bool)
@@ -184,3 +203,20 @@ def per_doc(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     run = np.zeros(len(values) + 1, np.int64 if values.dtype.kind in "bui" else np.float64)
     np.cumsum(values, out=run[1:])
     return run[cuts[1:]] - run[cuts[:-1]]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting (faster than hashing for 64-bit numbers)."""
+    if not len(values):
+        return values
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(ordered, values)
+    at[at == len(ordered)] = 0
+    return ordered[at] == values
