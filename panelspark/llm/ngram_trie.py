@@ -389,7 +389,7 @@ def score_block(left: pd.DataFrame, right: pd.DataFrame, shards: int, bits: int,
     return pd.DataFrame({"doc_id": pd.array(b.docs, "Int64"), "held_out": b.held, "n_tokens": b.lengths, "n_known": np.add.reduceat(known.astype(np.int64), cut), "train_tokens": total, "base_score": np.add.reduceat(base, cut), "score": np.add.reduceat(tokens, cut)})
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", add: float = 0.1, m2: float = 20.0, m3: float = 20.0, block_tokens: int = 2_000_000, shard_tokens: int = 8_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", add: float = 0.1, m2: float = 20.0, m3: float = 20.0, block_tokens: int = 1_000_000, shard_tokens: int = 8_000_000) -> DataFrame:
     """One row per input row: the log10 probability of its text under a trigram trie and a unigram base.
 
     The model learns from rows whose crc32(id as text) mod 10 is not 0.  Null text

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cube import mix_sources
 from .decontam import find_contamination
 from .ngram_trie import score_documents
+from .orc_tokens import token_digests
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +24,25 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lm_score": op1_lm_score, "op2_decontaminate": op2_decontaminate}
+def tokenizer_path() -> str:
+    """A public byte-level tokenizer file, at the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.selectExpr("doc_id", "_mix_size AS size", "_mix_source_size AS source_size", "_mix_target AS target", "_mix_size * _mix_copies AS taken", "_mix_copies AS copies")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_lm_score, op2_decontaminate, op9_orc_tokens, op10_mix)
+}
 
 #: Only what SQL can express on whole tables; the others are tested against brute force.
 SQL: dict[str, str] = {}
