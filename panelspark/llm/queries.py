@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .cube import mix_sources
+from .decision_list import judge, learn_from
 from .decontam import find_contamination
 from .ngram_trie import score_documents
 from .orc_tokens import token_digests
+from .url_lr import judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = judge(docs, learn_from(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return judged.selectExpr("doc_id", "_stats.n_words", "_stats.word_chars", "_stats.n_symbols", "_stats.n_dup_lines", "_stats.n_repeat_words", "_base_failed AS base_failed", "_kept AS kept")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -41,7 +53,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_score, op2_decontaminate, op9_orc_tokens, op10_mix)
+    f.__name__: f for f in (op1_lm_score, op2_decontaminate, op4_quality_rules, op5_url_filter, op9_orc_tokens, op10_mix)
 }
 
 #: Only what SQL can express on whole tables; the others are tested against brute force.
