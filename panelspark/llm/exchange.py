@@ -15,13 +15,13 @@ import zstandard
 U64 = np.uint64
 
 
-def pack(values: np.ndarray) -> bytes:
+def pack(values: np.ndarray, level: int = 1) -> bytes:
     """Non-negative integers as zstd-compressed byte planes."""
     values = np.ascontiguousarray(values, dtype=U64)
     width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
     planes = values.view(np.uint8).reshape(-1, 8)[:, :width]
     head = len(values).to_bytes(8, "little") + bytes([width])
-    return head + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
+    return head + zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(planes.T).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:

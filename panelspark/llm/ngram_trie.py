@@ -38,8 +38,8 @@ from .storage import stored
 from .text import mix, slices, texts_of, word_hashes, words_of
 
 #: A bigram's or trigram's hash is sent with so many bits more than number the words of the corpus,
-#: so about one in 2**20 counts at most is another's too; a word's hash is sent whole.
-SPARE_BITS = 20
+#: so about one in 2**15 counts at most is another's too; a word's hash is sent whole.
+SPARE_BITS = 15
 #: Quantisation: codes are multiples of 1/4096 of log10, from 0 to -16.
 CODES_PER_UNIT = 4096
 
@@ -254,7 +254,7 @@ def make_blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterato
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, pa.schema([("d", pa.int64())])) as w:
             w.write_batch(pa.record_batch([ids_of], ["d"]))
-        row = [[uuid.uuid4().hex], [sink.getvalue().to_pybytes()], [pack(n)], [pack(out)], [pack_sorted(vocab)], [pack(ids)], [len(h)], [int(n[~out].sum())], [int((~out).sum())]]
+        row = [[uuid.uuid4().hex], [sink.getvalue().to_pybytes()], [pack(n)], [pack(out)], [pack_sorted(vocab)], [pack(ids, 3)], [len(h)], [int(n[~out].sum())], [int((~out).sum())]]
         return pa.record_batch([pa.array(x, f.type) for x, f in zip(row, schema)], schema=schema)
 
     for b in slices(batches):
@@ -283,25 +283,27 @@ class Block:
         self.docs = pa.ipc.open_stream(row.docs).read_all().column(0).to_pylist()
         self.lengths = unpack(row.lengths).astype(np.int64)
         self.held = unpack(row.held).astype(bool)
-        self.vocab, self.ids = unpack_sorted(row.vocab), unpack(row.ids).astype(np.int64)
+        self.vocab, self.ids = unpack_sorted(row.vocab), unpack(row.ids).astype(np.int32)
         self.first = np.concatenate([[0], np.cumsum(self.lengths)])
         n = len(self.ids)
         words = len(self.vocab)  # the number of BEGIN
-        self.prev = np.concatenate([[words], self.ids[:-1]])[:n]
+        self.prev = np.concatenate([np.array([words], np.int32), self.ids[:-1]])[:n]
         self.prev[self.first[:-1]] = words
-        self.prev2 = np.concatenate([[words], self.prev[:-1]])[:n]
+        self.prev2 = np.concatenate([np.array([words], np.int32), self.prev[:-1]])[:n]
         self.prev2[self.first[:-1]] = words
         self.train = np.repeat(~self.held, self.lengths)
-        h = np.append(self.vocab, BEGIN)
-        self.k2 = mix(h[self.prev] * U64(0xA0761D6478BD642F) + h[self.ids])
-        self.k3 = mix(mix(h[self.prev2] ^ U64(0x2545F4914F6CDD1D)) * U64(0xE7037ED1A0B428DB) + self.k2)
 
     def levels(self, ngram_bits: int):
-        """Per order: distinct keys, and the distinct key at each position (unsorted orders are fine: both ends do the same)."""
+        """Per order: distinct keys, the distinct key at each position, and how many bits of a key are sent."""
         yield self.vocab, self.ids, 64
-        for k in (self.k2, self.k3):
-            u, inverse = np.unique(k, return_inverse=True)
-            yield u, inverse, ngram_bits
+        h = np.append(self.vocab, BEGIN)
+        k = mix(h[self.prev] * U64(0xA0761D6478BD642F) + h[self.ids])
+        u, inverse = np.unique(k, return_inverse=True)
+        yield u, inverse.astype(np.int32), ngram_bits
+        del u, inverse
+        k = mix(mix(h[self.prev2] ^ U64(0x2545F4914F6CDD1D)) * U64(0xE7037ED1A0B428DB) + k)
+        u, inverse = np.unique(k, return_inverse=True)
+        yield u, inverse.astype(np.int32), ngram_bits
 
 
 def ask(rows: Iterator[pd.DataFrame], shards: int, bits: int) -> Iterator[pd.DataFrame]:
@@ -359,37 +361,36 @@ def score_block(left: pd.DataFrame, right: pd.DataFrame, shards: int, bits: int,
     base = np.log10(p1)[b.ids]
     known = c1[b.ids] > 0
     # Distinct n-grams: where each first stands, as word numbers.
-    where = [np.zeros(len(c), np.int64) for c in counts]
+    where = [np.zeros(len(c), np.int32) for c in counts]
     for k in (1, 2):
-        where[k][at[k]] = np.arange(len(b.ids))
+        where[k][at[k]] = np.arange(len(b.ids), dtype=np.int32)
     f2, s2 = b.prev[where[1]], b.ids[where[1]]
     p2 = (c2 + m2 * p1[s2]) / (c1[f2] + m2)
     start = (b.prev == V) & (b.prev2 == V)
-    context = np.where(start, train_docs, 0)
-    before = np.flatnonzero(~start)
-    context[before] = c2[at[1][before - 1]]
-    p3 = (c3 + m3 * p2[at[1][where[2]]]) / (context[where[2]] + m3)
+    last = where[2]  # from here on, trigrams by where they stand
+    suffix, upper = at[1][last], at[1][np.maximum(last - 1, 0)]
+    opening = start[last]
+    p3 = (c3 + m3 * p2[suffix]) / (np.where(opening, train_docs, c2[upper]) + m3)
     # Nodes, in the order of the levels.  (BEGIN, BEGIN) is a bigram too: the last, as BEGIN is the last word.
     n2 = np.flatnonzero(c2 > 0)
     n2 = n2[np.argsort(f2[n2].astype(U64) * U64(V + 1) + s2[n2].astype(U64))]
     f, s, q, n = (np.append(x[n2], y) for x, y in ((f2, V), (s2, V), (p2, 1.0), (c2, train_docs)))
     node = np.full(len(c2), -1, np.int64)
     node[n2] = np.arange(len(n2))
-    prior = np.where(start, len(n2), node[at[1][np.maximum(np.arange(len(b.ids)) - 1, 0)]])
     n3 = np.flatnonzero(c3 > 0)
-    upper, suffix = prior[where[2][n3]], node[at[1][where[2][n3]]]
-    o = np.argsort(upper.astype(U64) * U64(len(n2) + 1) + suffix.astype(U64))
-    trie = NGramTrie.build(np.log10(p1), np.log10(m2 / (c1 + m2)), f, s, np.log10(q), np.log10(m3 / (n + m3)), upper[o], suffix[o], np.log10(p3[n3[o]])).mapped()
+    above, below = np.where(opening, len(n2), node[upper])[n3], node[suffix][n3]
+    o = np.argsort(above.astype(U64) * U64(len(n2) + 1) + below.astype(U64))
+    trie = NGramTrie.build(np.log10(p1), np.log10(m2 / (c1 + m2)), f, s, np.log10(q), np.log10(m3 / (n + m3)), above[o], below[o], np.log10(p3[n3[o]])).mapped()
+    del p2, p3, above, below, n3, o, node, n2, f, s, q, n
     # Queries: each distinct bigram and trigram once.
     asked = trie.bigram(f2, s2)
     first = trie.bigram(np.array([V]), np.array([V]))[0]
-    before = np.where(start, first, asked[at[1][np.maximum(np.arange(len(b.ids)) - 1, 0)]])
-    tokens = trie.log10_at(before[where[2]], asked[at[1][where[2]]], b.prev[where[2]], b.ids[where[2]])[at[2]]
+    tokens = trie.log10_at(np.where(opening, first, asked[upper]), asked[suffix], b.prev[last], b.ids[last])[at[2]]
     cut = b.first[:-1]
     return pd.DataFrame({"doc_id": pd.array(b.docs, "Int64"), "held_out": b.held, "n_tokens": b.lengths, "n_known": np.add.reduceat(known.astype(np.int64), cut), "train_tokens": total, "base_score": np.add.reduceat(base, cut), "score": np.add.reduceat(tokens, cut)})
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", add: float = 0.1, m2: float = 20.0, m3: float = 20.0, block_tokens: int = 1_000_000, shard_tokens: int = 8_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", add: float = 0.1, m2: float = 20.0, m3: float = 20.0, block_tokens: int = 1_200_000, shard_tokens: int = 3_000_000) -> DataFrame:
     """One row per input row: the log10 probability of its text under a trigram trie and a unigram base.
 
     The model learns from rows whose crc32(id as text) mod 10 is not 0.  Null text
