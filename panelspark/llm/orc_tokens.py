@@ -167,17 +167,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
     ordered.mapInArrow(encode, FILE).write.options(**options).orc(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The files again, with each document's place in the whole stream.  A filter on doc_id prunes stripes."""
-    files = spark.read.schema(FILE).orc(path)
-    # Totals of the parts: a row for each file.
-    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()
+def in_stream(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows with ``part`` and ``before``, and where each document begins in the whole stream (``start``)."""
+    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # a row for each file
     starts, at = [], 0
     for r in sorted(totals, key=lambda r: r.part):
         starts.append((r.part, at))
         at += r.n
-    parts = spark.createDataFrame(starts, "part int, part_start long")
-    return files.join(parts, "part").select("doc_id", (F.col("part_start") + F.col("before")).alias("start"), "n_tokens", "ids")
+    parts = rows.sparkSession.createDataFrame(starts, "part int, part_start long")
+    return rows.join(parts, "part").withColumn("start", F.col("part_start") + F.col("before")).drop("part", "part_start", "before")
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """The files again: doc_id, n_tokens, ids and start.  A filter on doc_id prunes stripes."""
+    files = spark.read.schema(FILE).orc(path)
+    return in_stream(files, files)
 
 
 def crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +191,7 @@ def crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
         n = np.diff(first).astype(np.int64)
         crc = [zlib.crc32(flat[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
-        yield pa.record_batch([b.column("doc_id"), b.column("start"), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        yield pa.record_batch([b.column("doc_id"), b.column("part"), b.column("before"), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "part", "before", "n_tokens", "ids_crc32"])
 
 
 def token_digests(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
@@ -195,4 +199,6 @@ def token_digests(docs: DataFrame, tokenizer: str, path: str | None = None) -> D
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     write_tokens(docs, path, tokenizer)
-    return read_tokens(spark, path).mapInArrow(crcs, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = spark.read.schema(FILE).orc(path)
+    read = files.mapInArrow(crcs, "doc_id long, part int, before long, n_tokens long, ids_crc32 long")
+    return in_stream(read, files).select("doc_id", "start", "n_tokens", "ids_crc32")
