@@ -379,6 +379,8 @@ def score_block(left: pd.DataFrame, right: pd.DataFrame, shards: int, bits: int,
     node[n2] = np.arange(len(n2))
     n3 = np.flatnonzero(c3 > 0)
     above, below = np.where(opening, len(n2), node[upper])[n3], node[suffix][n3]
+    both = (above >= 0) & (below >= 0)  # a trigram that a confused hash made up may lack its bigrams
+    n3, above, below = n3[both], above[both], below[both]
     o = np.argsort(above.astype(U64) * U64(len(n2) + 1) + below.astype(U64))
     trie = NGramTrie.build(np.log10(p1), np.log10(m2 / (c1 + m2)), f, s, np.log10(q), np.log10(m3 / (n + m3)), above[o], below[o], np.log10(p3[n3[o]])).mapped()
     del p2, p3, above, below, n3, o, node, n2, f, s, q, n
