@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .cube import mix_sources
 from .decision_list import judge, learn_from
 from .decontam import find_contamination
+from .icws import near_duplicates
 from .ngram_trie import score_documents
 from .orc_tokens import token_digests
 from .semicrf import find_personal_data
@@ -27,6 +28,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_score, op2_decontaminate, op4_quality_rules, op5_url_filter, op7_personal_data, op9_orc_tokens, op10_mix)
+    f.__name__: f for f in (op1_lm_score, op2_decontaminate, op4_quality_rules, op5_url_filter, op6_near_duplicates, op7_personal_data, op9_orc_tokens, op10_mix)
 }
 
 #: Only what SQL can express on whole tables; the others are tested against brute force.
