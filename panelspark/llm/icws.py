@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neardup import group
+from .neardup import group, sieve, sifted
 from .storage import stored
 from .text import U64, Texts, among, mix, process_cache, shingle_hashes, slices, texts_of, word_hashes, words_of
 
@@ -185,8 +185,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "pairs")
         ids = pairs.selectExpr("a AS id").unionByName(pairs.selectExpr("b AS id")).distinct().join(items.select("id", "digest"), "id")
+        ids, wanted = stored(ids, "ids"), sieve(ids)
+
+        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(sifted(b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), wanted)))
+
         # The texts of the items compared, once each.
-        texts = rows.join(ids, rows["doc_id"] == ids["id"]).select("id", "digest", "text")
+        some = rows.where("doc_id IS NOT NULL").mapInArrow(sift, rows.schema)
+        texts = some.join(ids, some["doc_id"] == ids["id"]).select("id", "digest", "text")
 
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):

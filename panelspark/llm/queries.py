@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chunk_dedup import repeated_spans
 from .cube import mix_sources
 from .decision_list import judge, learn_from
 from .decontam import find_contamination
+from .fuzzy_lines import fuzzy_lines
 from .icws import near_duplicates
 from .ngram_trie import score_documents
 from .orc_tokens import token_digests
@@ -36,6 +38,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """A public byte-level tokenizer file, at the same place on every machine."""
     import public_tokenizers
@@ -43,6 +49,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = judge(docs, learn_from(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
@@ -63,7 +73,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_score, op2_decontaminate, op4_quality_rules, op5_url_filter, op6_near_duplicates, op7_personal_data, op9_orc_tokens, op10_mix)
+    f.__name__: f for f in (op1_lm_score, op2_decontaminate, op3_repeated_passages, op4_quality_rules, op5_url_filter, op6_near_duplicates, op7_personal_data, op8_fuzzy_lines, op9_orc_tokens, op10_mix)
 }
 
 #: Only what SQL can express on whole tables; the others are tested against brute force.
