@@ -6,8 +6,8 @@ size costs one row an item and no task sees more than a row a block for it.
 Links are verified in three rounds, and whatever is connected already is not
 compared again:
 
-1. each item with the least of all items it points to;
-2. the other pointers, where the ends are not yet connected;
+1. each item with one hub: of its buckets' hubs the one that meets most items;
+2. the other hubs of its buckets, where the two are not yet connected;
 3. within buckets that still hold several components, the pairs across them
    whose signatures agree enough to have a chance at the threshold.
 
@@ -139,8 +139,17 @@ def group(items: DataFrame, verify: Callable[[DataFrame], DataFrame], agree: int
     pairs (a, b) and returns those that are similar.  ``agree``: of the samples of
     two items, how many must be equal for a comparison in the third round.
     """
-    star = stored(stars(items), "stars")
-    tested = stored(star.groupBy("a").agg(F.min("b").alias("b")), "tested")
+    star = stars(items)
+    member = stored(star.select("bucket", F.col("a").alias("id")).unionByName(star.select("bucket", F.col("b").alias("id"))).distinct(), "members")
+    # The hub of a bucket is the item that meets most others: a copied original rather than one of its altered copies.
+    size = member.groupBy("bucket").agg(F.count("*").alias("n"))
+    met = member.join(size, "bucket").groupBy("id").agg(F.sum("n").alias("met"))
+    ranked = stored(member.join(met, "id"), "ranked")
+    hub = ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("id"))).alias("hub"))
+    pairs = ranked.join(hub, "bucket").select(F.col("id").alias("x"), (-F.col("hub.id")).alias("y"), F.col("hub.met").alias("met")).where("x <> y")
+    pairs = stored(pairs, "stars")
+    ordered = (F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    tested = stored(pairs.groupBy("x").agg(F.max_by("y", F.struct("met", "y")).alias("y")).select(*ordered).distinct(), "tested")
     links = stored(verify(tested), "links")
     comp = stored(components(links), "components")
 
@@ -150,18 +159,20 @@ def group(items: DataFrame, verify: Callable[[DataFrame], DataFrame], agree: int
         rest = pairs.join(x, "a", "left").join(y, "b", "left")
         return rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(tested, ["a", "b"], "left_anti").distinct()
 
-    second = stored(apart(star.select("a", "b").distinct()), "tested")
+    second = stored(apart(pairs.select(*ordered).distinct()), "tested")
     links = links.unionByName(stored(verify(second), "links"))
     tested = tested.unionByName(second)
     comp = stored(components(links), "components")
     # Buckets that hold several components.
-    member = star.select("bucket", F.col("a").alias("id")).unionByName(star.select("bucket", F.col("b").alias("id"))).distinct()
     member = member.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    member = stored(member.join(mixed, "bucket", "left_semi").join(items.select("id", "sample"), "id"), "mixed")
-    left, right = member.selectExpr("bucket", "id AS a", "component AS ca", "sample AS sa"), member.selectExpr("bucket", "id AS b", "component AS cb", "sample AS sb")
+    member = stored(member.join(mixed, "bucket", "left_semi").join(items.select("id", "bands", "sample").dropDuplicates(["id"]), "id"), "mixed")
+    left, right = member.selectExpr("bucket", "id AS a", "component AS ca", "bands AS ba", "sample AS sa"), member.selectExpr("bucket", "id AS b", "component AS cb", "bands AS bb", "sample AS sb")
     same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    third = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("ca") < F.col("cb")) & (same >= agree)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # A pair is taken in the first band that it shares.
+    here = F.array_position(F.zip_with("ba", "bb", lambda p, q: p == q), F.lit(True))
+    only = F.element_at("ba", here.cast("int")) == left["bucket"]
+    third = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("ca") < F.col("cb")) & (same >= agree) & only).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     third = stored(third.join(tested, ["a", "b"], "left_anti"), "tested")
     links = links.unionByName(stored(verify(third), "links"))
     return stored(components(links), "components")
