@@ -44,27 +44,38 @@ def lines_of(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return start[live], end[live], doc[live], number[live]
 
 
-def shingles(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of all runs of bytes of the lines, in order, with repeats."""
-    size = np.minimum(SHINGLE, end - start)
-    n = np.where(end > start, end - start - size + 1, 0)
-    line = np.repeat(np.arange(len(start)), n)
-    at = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n) + start[line]
-    return line, span_hash(h, at, at + size[line])
-
-
-def signatures(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of all runs of eight bytes of the lines, in order, with repeats.  A shorter line is one run, filled up with zeros."""
+    n = np.where(end > start, np.maximum(end - start - SHINGLE + 1, 1), 0)
+    line = np.repeat(np.arange(len(start), dtype=np.int32), n)
+    at = np.arange(len(line)) - np.repeat(np.cumsum(n) - n - start, n)
+    # Eight bytes are a number already, at any byte.
+    padded = np.concatenate([data, np.zeros(SHINGLE, np.uint8)])
+    x = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))[at]
+    if (short := end - start < SHINGLE).any():
+        few = np.flatnonzero(short[line])
+        x[few] &= (U64(1) << (U64(8) * (end - start)[line[few]].astype(U64))) - U64(1)
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(32)
+    x *= U64(0x94D049BB133111EB)
+    return line, x
+
+
+def signatures(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """BINS values (32 bits) for each line."""
     out = np.full((len(start), BINS), np.iinfo(np.uint32).max, np.uint32)
     short = (end - start) < SHORT + SHINGLE
     for many in (False, True):
         rows = np.flatnonzero(~short if many else short)
-        for a in range(0, len(rows), 4096):
-            some = rows[a : a + 4096]
-            line, x = shingles(h, start[some], end[some])
+        for a in range(0, len(rows), 1024):
+            some = rows[a : a + 1024]
+            line, x = shingles(data, start[some], end[some])
             if many:
                 part = np.full(len(some) * BINS, np.iinfo(np.uint32).max, np.uint32)
-                np.minimum.at(part, line * BINS + (x % U64(BINS)).astype(np.int64), (x >> U64(32)).astype(np.uint32))
+                value = (x >> U64(32)).astype(np.uint32)
+                place = (((x & U64(0xFFFFFFFF)) * U64(BINS)) >> U64(32)).astype(np.int64)
+                place += line.astype(np.int64) * BINS
+                np.minimum.at(part, place, value)
                 out[some] = borrowed(part.reshape(-1, BINS))
             else:
                 first = np.searchsorted(line, np.arange(len(some)))
@@ -101,7 +112,7 @@ def signed(rows: DataFrame) -> DataFrame:
             digest = span_hash(prefix_hash(t.data), start, end)
             _, first = np.unique(digest, return_index=True)
             first.sort()
-            values = signatures(prefix_hash(LOWER[t.data]), start[first], end[first])
+            values = signatures(LOWER[t.data], start[first], end[first])
             h = np.zeros((len(first), BANDS), U64)
             for k in range(ROWS):
                 h = mix(h * U64(0xA0761D6478BD642F) + values[:, k::ROWS].astype(U64) + np.arange(BANDS, dtype=U64)[None, :])
@@ -119,7 +130,7 @@ def similarity(left: Texts, right: Texts) -> np.ndarray:
     """Exact Jaccard similarity of the sets of runs of each pair of lines."""
     sets = []
     for t in (left, right):
-        line, x = shingles(prefix_hash(LOWER[t.data]), t.offsets[:-1], t.offsets[1:])
+        line, x = shingles(LOWER[t.data], t.offsets[:-1], t.offsets[1:])
         key = np.sort((line.astype(U64) << U64(44)) | (x >> U64(20)))
         sets.append(key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key)
     n = len(left)
@@ -140,9 +151,8 @@ def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     lines = stored(signed(rows), "lines")
     items = lines.where("size(bands) > 0").select("id", "bands", "sample")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
-        ids = pairs.selectExpr("a AS id").unionByName(pairs.selectExpr("b AS id")).distinct()
+    def fetch(ids: DataFrame) -> DataFrame:
+        """The lines of some digests, from the documents again; a filter of fixed size leaves most others behind."""
         wanted = sieve(ids)
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,21 +163,15 @@ def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 some = np.flatnonzero(sifted(digest, wanted))
                 some = some[np.unique(digest[some], return_index=True)[1]]
                 raw = t.data.tobytes()
-                yield pa.record_batch([pa.array(digest[some]), pa.array([raw[x:y] for x, y in zip(start[some].tolist(), end[some].tolist())], pa.binary())], ["id", "line"])
-
-        texts = rows.mapInArrow(find, "id long, line binary").dropDuplicates(["id"])
-        texts = stored(texts.join(ids, "id", "left_semi"), "texts")
-        full = pairs.join(texts.selectExpr("id AS a", "CAST(line AS STRING) AS ta"), "a").join(texts.selectExpr("id AS b", "CAST(line AS STRING) AS tb"), "b")
+                yield pa.record_batch([pa.array(digest[some]), pa.array([raw[x:y] for x, y in zip(start[some].tolist(), end[some].tolist())], pa.binary()).cast(pa.string())], ["id", "text"])
 
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, "ta"):
-                s = similarity(texts_of(b.column("ta")), texts_of(b.column("tb")))
-                yield b.filter(pa.array(s >= least - 1e-9)).select(["a", "b"])
+        return rows.mapInArrow(find, "id long, text string").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
-        return full.mapInArrow(check, "a long, b long")
+    def similar(left: pa.Array, right: pa.Array) -> np.ndarray:
+        return similarity(texts_of(left), texts_of(right)) >= least - 1e-9
 
     # Of 48 values, 38 agree on average at 0.8, with a standard deviation of 2.8.
-    comp = group(items, verify, agree=32)
+    comp = group(items, fetch, similar, agree=32)
     classed = lines.select("id", "doc_id", "line").join(comp, "id", "left").select("doc_id", "line", F.coalesce("component", "id").alias("class"))
     classed = stored(classed, "classes")
     first = classed.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")

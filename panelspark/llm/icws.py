@@ -183,36 +183,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sig = stored(signed(rows, known), "signatures")
     items = stored(sig.where("size(bands) > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sample").alias("sample")), "items")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
-        ids = pairs.selectExpr("a AS id").unionByName(pairs.selectExpr("b AS id")).distinct().join(items.select("id", "digest"), "id")
-        ids, wanted = stored(ids, "ids"), sieve(ids)
+    def fetch(ids: DataFrame) -> DataFrame:
+        """The text of each item, from the row of its id and digest."""
+        ids = ids.join(items.select("id", "digest"), "id")
+        wanted = sieve(ids)
 
         def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(sifted(b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), wanted)))
-
-        # The texts of the items compared, once each.
-        some = rows.where("doc_id IS NOT NULL").mapInArrow(sift, rows.schema)
-        texts = some.join(ids, some["doc_id"] == ids["id"]).select("id", "digest", "text")
-
-        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
-                same = [x == y for x, y in zip(digests(texts_of(b.column("text"))), b.column("digest").to_pylist())]
-                yield b.filter(pa.array(same)).select(["id", "text"])
-
-        texts = stored(texts.mapInArrow(own, "id long, text string").dropDuplicates(["id"]), "texts")
-        full = pairs.join(texts.selectExpr("id AS a", "text AS ta"), "a").join(texts.selectExpr("id AS b", "text AS tb"), "b")
+                b = b.filter(pa.array(sifted(b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), wanted)))
+                yield pa.record_batch([b.column("doc_id"), pa.array(digests(texts_of(b.column("text"))), pa.binary()), b.column("text")], ["id", "digest", "text"])
 
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, "ta"):
-                s = similarity(texts_of(b.column("ta")), texts_of(b.column("tb")), known)
-                yield b.filter(pa.array(s >= least - 1e-9)).select(["a", "b"])
+        some = rows.where("doc_id IS NOT NULL").mapInArrow(sift, "id long, digest binary, text string")
+        return some.join(ids, ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "text")
 
-        return full.mapInArrow(check, "a long, b long")
+    def similar(left: pa.Array, right: pa.Array) -> np.ndarray:
+        return similarity(texts_of(left), texts_of(right), known) >= least - 1e-9
 
     # 0.8 of 128 samples is 102 with a standard deviation of 4.5.
-    comp = group(items.select("id", "bands", "sample"), verify, agree=94)
+    comp = group(items.select("id", "bands", "sample"), fetch, similar, agree=94)
     classes = items.select("digest", "id").join(comp, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
     return sig.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 

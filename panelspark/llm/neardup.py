@@ -11,8 +11,7 @@ compared again:
 3. within buckets that still hold several components, the pairs across them
    whose signatures agree enough to have a chance at the threshold.
 
-Components come from alternating large-star and small-star steps (Kiveris et al.
-2014), every step a written table.
+Components come from a union-find over partitions, every step a written table.
 """
 
 from __future__ import annotations
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .exchange import U64, deal, pack, unpack
 from .storage import stored
+from .text import slices
 
 BLOCK_KEYS = 2_000_000
 STARS = "bucket long, a long, b long"
@@ -94,23 +94,53 @@ def stars(items: DataFrame, shard_keys: int = 1_000_000) -> DataFrame:
     return items.select("id", "bands").mapInArrow(block, schema).groupBy("shard").applyInPandas(meet, STARS)
 
 
+def forest(edges: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(item, root) of the components of some edges, the root being the least item, and whether that says more than the edges did."""
+    a, b = edges
+    items, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(items))
+    while True:
+        m = np.minimum(root[x], root[y])
+        low = root.copy()
+        np.minimum.at(low, root[x], m)
+        np.minimum.at(low, root[y], m)
+        low = low[low]
+        while (again := low[low]).tolist() != low.tolist():
+            low = again
+        low = low[root]
+        if np.array_equal(low, root):
+            break
+        root = low
+    spoke = np.flatnonzero(root != np.arange(len(items)))
+    return items[spoke], items[root[spoke]], bool((items[root[x]] != b).any())
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): the least item each linked item is connected with."""
-    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    """(id, component): the least item each linked item is connected with.
+
+    Every edge goes to the partitions of both its ends; a partition replaces its
+    edges by stars around the least item of each component it sees.  When no
+    partition learns anything, every item points to its root.
+    """
+    schema = "a long, b long, news boolean"
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+        if parts:
+            a, b, news = forest(tuple(np.concatenate(x) for x in zip(*parts)))
+            yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.full(len(a), news))], ["a", "b", "news"])
+
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    # What lies in one partition already is settled before anything is shuffled.
+    edges = edges.mapInArrow(settle, schema)
     while True:
-        both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        # Large star: greater neighbours go to the least of the neighbourhood.
-        large = both.where("b > a").join(least, "a").selectExpr("b AS a", "m AS b").distinct()
-        # Small star: an item and its lesser neighbours go to the least of these.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").selectExpr("explode(array(struct(a AS a, m AS b), struct(b AS a, m AS b))) AS e").select("e.*").where("a <> b").distinct()
-        after = stored(small, "edges")
-        now, then = (x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (after, edges))
-        edges = after
-        if now == then:
+        both = edges.select("a", "b", F.explode(F.array("a", "b")).alias("key")).repartition("key").select("a", "b")
+        edges = stored(both.mapInArrow(settle, schema), "edges")
+        if not edges.where("news").head(1):
             break
-    return edges.selectExpr("a AS id", "b AS component").unionByName(edges.selectExpr("b AS id", "b AS component").distinct())
+    star = edges.select("a", "b").distinct()
+    return star.selectExpr("a AS id", "b AS component").unionByName(star.selectExpr("b AS id", "b AS component").distinct())
 
 
 #: Bits of the filter that ``sieve`` makes: 1 MB, however many ids there are.
@@ -132,15 +162,28 @@ def sifted(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def group(items: DataFrame, verify: Callable[[DataFrame], DataFrame], agree: int) -> DataFrame:
+def group(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar: Callable[[pa.Array, pa.Array], np.ndarray], agree: int) -> DataFrame:
     """(id, component) of every item linked to another.
 
-    ``items``: id, bands (array of long), sample (array of short).  ``verify`` takes
-    pairs (a, b) and returns those that are similar.  ``agree``: of the samples of
-    two items, how many must be equal for a comparison in the third round.
+    ``items``: id, bands (array of long), sample (array of short).  ``fetch`` takes
+    ids and returns (id, text); it is asked once, for the items that share a band
+    with another.  ``similar`` tells for texts and texts which pairs are links.
+    ``agree``: of the samples of two items, how many must be equal for a comparison
+    in the third round.
     """
     star = stars(items)
     member = stored(star.select("bucket", F.col("a").alias("id")).unionByName(star.select("bucket", F.col("b").alias("id"))).distinct(), "members")
+    texts = stored(fetch(member.select("id").distinct()), "texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(texts.selectExpr("id AS a", "text AS ta"), "a").join(texts.selectExpr("id AS b", "text AS tb"), "b")
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "ta"):
+                yield b.filter(pa.array(similar(b.column("ta"), b.column("tb")))).select(["a", "b"])
+
+        return full.mapInArrow(check, "a long, b long")
+
     # The hub of a bucket is the item that meets most others: a copied original rather than one of its altered copies.
     size = member.groupBy("bucket").agg(F.count("*").alias("n"))
     met = member.join(size, "bucket").groupBy("id").agg(F.sum("n").alias("met"))
