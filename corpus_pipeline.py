@@ -18,18 +18,18 @@ from panelspark.llm.decontam import drop_contaminated
 from panelspark.llm.icws import drop_near_duplicates
 from panelspark.llm.orc_tokens import token_digests
 from panelspark.llm.queries import table, tokenizer_path
-from panelspark.llm.storage import stored
+from panelspark.llm.storage import short_batches, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rules = learn_from(docs, table(spark, sf_dir, "labels"))
-    # The text goes through as a kept column; the statistics are made from a second reference to it.
     return judge(docs, rules, keep=COLUMNS).where("_kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return drop_near_duplicates(docs.select(*COLUMNS))
 
 
@@ -38,11 +38,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return take_mix(docs.select(*COLUMNS))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32, read from the ORC files."""
+    short_batches(spark)
     return token_digests(docs, tokenizer_path())
 
 

@@ -109,7 +109,8 @@ def settle(p: np.ndarray, was: np.ndarray, size: np.ndarray, tries: int = 32) ->
 
 def sized(docs: DataFrame, keep: list[str], source_col: str, text_col: str) -> DataFrame:
     """Kept columns with source, words and a hash that tells rows apart."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(source_col).cast("string").alias("_mix_source"), F.col(text_col).cast("string").alias("_mix_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(source_col).cast("string").alias("_mix_source"), *([] if text_col in keep else [F.col(text_col).cast("string").alias("_mix_text")]))
+    name = text_col if text_col in keep else "_mix_text"  # the text is sent once, also if it is kept
     fields = [f for f in rows.schema.fields if f.name != "_mix_text"]
     schema = T.StructType([*fields, T.StructField("_mix_size", T.LongType()), T.StructField("_mix_hash", T.LongType())])
 
@@ -119,8 +120,8 @@ def sized(docs: DataFrame, keep: list[str], source_col: str, text_col: str) -> D
         from .text import LOWER, prefix_hash, span_hash
 
         seen: Counter = Counter()
-        for b in slices(batches, "_mix_text"):
-            t = texts_of(b.column("_mix_text"))
+        for b in slices(batches, name):
+            t = texts_of(b.column(name))
             n = np.diff(words_of(t).first)
             h = span_hash(prefix_hash(t.data), t.offsets[:-1], t.offsets[1:])
             if "doc_id" in b.schema.names and pa.types.is_integer(b.schema.field("doc_id").type):

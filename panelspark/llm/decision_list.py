@@ -102,13 +102,15 @@ def statistics(t: Texts) -> dict[str, np.ndarray]:
 
 def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The kept columns and, as ``_stats``, the statistics of the text (null: empty)."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_stats_text"))
+    # The text is sent once, also if it is kept.
+    name = text_col if text_col in keep and dict(docs.dtypes)[text_col] == "string" else "_stats_text"
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([F.col(f"`{text_col}`").cast("string").alias(name)] if name not in keep else []))
     inner = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField(c, T.DoubleType()) for c in SHARES])
     fields = [f for f in rows.schema.fields if f.name != "_stats_text"]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_stats_text"):
-            s = statistics(texts_of(b.column("_stats_text")))
+        for b in slices(batches, name):
+            s = statistics(texts_of(b.column(name)))
             stats = pa.StructArray.from_arrays([pa.array(s[c].astype(np.int64)) for c in COUNTS] + [pa.array(s[c].astype(float)) for c in SHARES], COUNTS + SHARES)
             yield pa.record_batch([*[b.column(i) for i in range(len(fields))], stats], [*[f.name for f in fields], "_stats"])
 

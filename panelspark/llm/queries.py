@@ -15,10 +15,12 @@ from .icws import near_duplicates
 from .ngram_trie import score_documents
 from .orc_tokens import token_digests
 from .semicrf import find_personal_data
+from .storage import short_batches
 from .url_lr import judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -38,3 +38,8 @@ def drop(df: DataFrame) -> None:
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         p = jvm.org.apache.hadoop.fs.Path(f)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python a thousand at a time: documents may be long, and several tasks share an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
