@@ -54,12 +54,14 @@ class Panel:
         scalars = [c for c in df.columns if c not in {date, code, order, *groups, *arrays, *bundled}]
         cols = [F.col(date).cast("date").alias(DATE), F.col(code).alias(CODE)]
         cols += [number(F.col(c)).alias(c) for c in scalars] + [F.col(g).cast("string").alias(g) for g in groups]
-        cols += [F.array(*[number(F.col(c)) for c in sorted(v, key=lambda c: int(c.rpartition("__")[2]))]).alias(k) for k, v in parts.items()]
+        cols += [number(F.col(c)).alias(c) for v in parts.values() for c in v]
         cols += [F.transform(F.col(a), number).alias(a) for a in arrays]
-        names = [*scalars, *groups, *parts, *arrays]
+        names = [*scalars, *groups, *bundled, *arrays]
         rows = df.select(*cols, *([F.col(order).alias("_order")] if order else [])).where(F.col(DATE).isNotNull() & F.col(CODE).isNotNull())
         if order:
             rows = rows.groupBy(DATE, CODE).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c) for c in names])
+        bundles = [F.array(*sorted(v, key=lambda c: int(c.rpartition("__")[2]))).alias(k) for k, v in parts.items()]
+        rows = rows.select(DATE, CODE, *scalars, *groups, *arrays, *bundles)
         if dense:
             rows = densify(rows)
         return cls(rows, groups, [*parts, *arrays])
