@@ -171,7 +171,7 @@ def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return similarity(texts_of(left), texts_of(right)) >= least - 1e-9
 
     # Of 48 values, 38 agree on average at 0.8, with a standard deviation of 2.8.
-    comp = group(items, fetch, similar, agree=32)
+    comp = group(items, fetch, similar, agree=30)
     classed = lines.select("id", "doc_id", "line").join(comp, "id", "left").select("doc_id", "line", F.coalesce("component", "id").alias("class"))
     classed = stored(classed, "classes")
     first = classed.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")

@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return similarity(texts_of(left), texts_of(right), known) >= least - 1e-9
 
     # 0.8 of 128 samples is 102 with a standard deviation of 4.5.
-    comp = group(items.select("id", "bands", "sample"), fetch, similar, agree=94)
+    comp = group(items.select("id", "bands", "sample"), fetch, similar, agree=88)
     classes = items.select("digest", "id").join(comp, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
     return sig.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 

@@ -8,8 +8,9 @@ compared again:
 
 1. each item with one hub: of its buckets' hubs the one that meets most items;
 2. the other hubs of its buckets, where the two are not yet connected;
-3. within buckets that still hold several components, the pairs across them
-   whose signatures agree enough to have a chance at the threshold.
+3. within buckets that still hold several components, again and again until it
+   links nothing more, each item with the few items of other components whose
+   samples agree most with its own.
 
 Components come from a union-find over partitions, every step a written table.
 """
@@ -21,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import U64, deal, pack, unpack
@@ -29,6 +30,8 @@ from .storage import stored
 from .text import slices
 
 BLOCK_KEYS = 2_000_000
+#: Items of a bucket that one task compares with the others of the bucket.
+GROUP_ROWS = 2000
 STARS = "bucket long, a long, b long"
 
 
@@ -169,7 +172,7 @@ def group(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar: Ca
     ids and returns (id, text); it is asked once, for the items that share a band
     with another.  ``similar`` tells for texts and texts which pairs are links.
     ``agree``: of the samples of two items, how many must be equal for a comparison
-    in the third round.
+    in the third round and after.
     """
     star = stars(items)
     member = stored(star.select("bucket", F.col("a").alias("id")).unionByName(star.select("bucket", F.col("b").alias("id"))).distinct(), "members")
@@ -206,16 +209,78 @@ def group(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar: Ca
     links = links.unionByName(stored(verify(second), "links"))
     tested = tested.unionByName(second)
     comp = stored(components(links), "components")
-    # Buckets that hold several components.
-    member = member.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = member.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    member = stored(member.join(mixed, "bucket", "left_semi").join(items.select("id", "bands", "sample").dropDuplicates(["id"]), "id"), "mixed")
-    left, right = member.selectExpr("bucket", "id AS a", "component AS ca", "bands AS ba", "sample AS sa"), member.selectExpr("bucket", "id AS b", "component AS cb", "bands AS bb", "sample AS sb")
-    same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    # A pair is taken in the first band that it shares.
-    here = F.array_position(F.zip_with("ba", "bb", lambda p, q: p == q), F.lit(True))
-    only = F.element_at("ba", here.cast("int")) == left["bucket"]
-    third = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("ca") < F.col("cb")) & (same >= agree) & only).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    third = stored(third.join(tested, ["a", "b"], "left_anti"), "tested")
-    links = links.unionByName(stored(verify(third), "links"))
-    return stored(components(links), "components")
+    samples = items.select("id", "sample").dropDuplicates(["id"])
+    while True:
+        # Buckets that hold several components, and in them the likeliest links across.
+        now = member.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n")
+        across = now.join(mixed, "bucket").join(samples, "id")
+        third = stored(likeliest(across, tested, agree), "tested")
+        found = stored(verify(third), "links")
+        if not found.head(1):
+            return comp
+        tested, links = tested.unionByName(third), links.unionByName(found)
+        comp = stored(components(links), "components")
+
+
+def likeliest(across: DataFrame, tested: DataFrame, agree: int, each: int = 3) -> DataFrame:
+    """(a, b): for each item the few untested items of other components in its buckets whose samples agree most, and ``agree`` at least.
+
+    ``across``: bucket, n (its size), id, component, sample.  Pairs are compared
+    where they lie and only the best leave; a large bucket is dealt to several
+    tasks, each with a share of the items on one side.
+    """
+    parts = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
+    dealt = across.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("own", F.pmod(F.xxhash64("id"), parts) == F.col("part"))
+    dealt = dealt.select("bucket", "part", "own", "id", "component", "sample").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches):
+            bucket, part = (rows.column(c).to_numpy() for c in ("bucket", "part"))
+            ids, comp = rows.column("id").to_numpy(), rows.column("component").to_numpy()
+            own = rows.column("own").to_numpy(zero_copy_only=False)
+            flat = rows.column("sample").combine_chunks() if isinstance(rows.column("sample"), pa.ChunkedArray) else rows.column("sample")
+            sample = flat.flatten().to_numpy().reshape(len(ids), -1)
+            first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])]))
+            size = np.diff(np.append(first, len(ids)))
+            begin, many = np.repeat(first, size), np.repeat(size, size)
+            left = np.flatnonzero(own)
+            best = []
+            for some in np.split(left, np.flatnonzero(np.diff(np.cumsum(many[left]) // 200_000)) + 1):
+                i = np.repeat(some, many[some])
+                j = np.arange(len(i)) - np.repeat(np.cumsum(many[some]) - many[some], many[some]) + begin[i]
+                ok = comp[i] != comp[j]
+                i, j = i[ok], j[ok]
+                same = (sample[i] == sample[j]).sum(1)
+                ok = same >= agree
+                i, j, same = i[ok], j[ok], same[ok]
+                order = np.lexsort((ids[j], -same, i))
+                i, j, same = i[order], j[order], same[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                best.append((ids[i], ids[j], same, place < 8))
+            x, y, same, few = (np.concatenate(c) for c in zip(*best)) if best else (np.zeros(0, np.int64),) * 4
+            few = few.astype(bool)
+            yield pa.record_batch([pa.array(x[few]), pa.array(y[few]), pa.array(same[few].astype(np.int32))], ["x", "y", "same"])
+
+    pairs = dealt.mapInArrow(compare, "x long, y long, same int").select("x", "same", F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    fresh = pairs.join(tested, ["a", "b"], "left_anti")
+    order = Window.partitionBy("x").orderBy(F.col("same").desc(), "a", "b")
+    return fresh.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= each).select("a", "b").distinct()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.Table]:
+    """Sorted batches in tables that end where a (bucket, part) ends."""
+    held: list[pa.Table] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(pa.Table.from_batches([b]))
+        if sum(t.num_rows for t in held) >= rows:
+            t = pa.concat_tables(held)
+            key = [t.column(c).to_numpy() for c in ("bucket", "part")]
+            last = np.flatnonzero((key[0][:-1] != key[0][-1]) | (key[1][:-1] != key[1][-1]))
+            if len(last):
+                yield t.slice(0, int(last[-1]) + 1).combine_chunks()
+                held = [t.slice(int(last[-1]) + 1)]
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
