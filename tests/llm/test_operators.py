@@ -301,7 +301,8 @@ def test_fuzzy_lines(spark, none):
     d = spark.createDataFrame(rows, "doc_id long, text string, line int").repartition(3)
     lines = [(i, k, s.encode()) for i, t, _ in rows for k, s in enumerate((t or "").split("\n")) if WORD.search(s)]
     texts = sorted({s for *_, s in lines})
-    sets = [frozenset((y := low(s.decode()).encode())[k : k + 8] for k in range(max(1, len(y) - 7))) for s in texts]
+    lowered = [low(s.decode()).encode() for s in texts]
+    sets = [frozenset(y[k : k + 8] for k in range(max(1, len(y) - 7))) for y in lowered]
     root = list(range(len(texts)))
 
     def find(k):
