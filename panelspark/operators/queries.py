@@ -310,11 +310,12 @@ def res_long_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.long_short(R.layers(long(spark, sf_dir), 5), 5)
 
 
-@query(BASE + PNL + f""", cu AS (SELECT factor, date, ret, CASE WHEN min(ret) OVER (PARTITION BY factor) <= -1 THEN 1 + sum(ret) OVER (PARTITION BY factor ORDER BY date) ELSE product(1 + ret) OVER (PARTITION BY factor ORDER BY date) END AS c FROM lsr WHERE ret IS NOT NULL), pk AS (SELECT *, greatest(1, max(c) OVER (PARTITION BY factor ORDER BY date)) AS p FROM cu),
+@query(BASE + PNL + f""", ls50 AS (SELECT factor, date, ret / 50 AS ret FROM lsr), cu AS (SELECT factor, date, ret, CASE WHEN min(ret) OVER (PARTITION BY factor) <= -1 THEN 1 + sum(ret) OVER (PARTITION BY factor ORDER BY date) ELSE product(1 + ret) OVER (PARTITION BY factor ORDER BY date) END AS c FROM ls50 WHERE ret IS NOT NULL), pk AS (SELECT *, greatest(1, max(c) OVER (PARTITION BY factor ORDER BY date)) AS p FROM cu),
 rs AS (SELECT factor, count(*) AS days, arg_max(c, date) - 1 AS total, stddev_samp(ret) * sqrt(252) AS vol, min(c / p - 1) AS dd, avg(ret) AS mean_ret, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS win FROM pk GROUP BY factor), an AS (SELECT *, CASE WHEN total > -1 THEN power(total + 1, 252.0 / days) - 1 ELSE 0 END AS annual FROM rs)
 SELECT factor, days, {r6('total')} AS total, {r6('vol')} AS vol, {r6('dd')} AS max_drawdown, {r6('mean_ret')} AS mean_ret, {r6('win')} AS win_rate, {r6('annual')} AS annual, {r6('annual / 2 / vol')} AS sharpe, {r6('annual / 2 / vol * sqrt(abs(annual) / greatest(abs(dd), 0.125))')} AS fitness FROM an""")
 def res_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.risk(R.long_short(R.layers(long(spark, sf_dir), 5), 5))
+    # The made-up returns are huge; a fiftieth of them compounds to numbers that can be compared.
+    return R.risk(R.long_short(R.layers(long(spark, sf_dir), 5), 5).withColumn("ret", C("ret") / 50))
 
 
 @query(BASE + LAYER + f", dy AS (SELECT factor, date, lag(date) OVER (PARTITION BY factor ORDER BY date) AS pd FROM (SELECT DISTINCT factor, date FROM la)) SELECT n.factor, n.date, {r6('avg(CASE WHEN o.code IS NULL THEN 1.0 ELSE 0 END)')} AS turnover FROM la n JOIN dy USING (factor, date) LEFT JOIN la o ON o.factor = n.factor AND o.date = pd AND o.code = n.code AND o.layer = 5 WHERE n.layer = 5 AND pd IS NOT NULL GROUP BY ALL")
@@ -344,9 +345,9 @@ def res_turnover_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.turnover_summary(top10(spark, sf_dir))
 
 
-@query(BASE + TOP + f" SELECT factor, date, 'top10' AS portfolio, {r6('gross')} AS gross, {r6('net')} AS net, {r6('product(1 + gross) OVER w - 1')} AS cum_gross, {r6('product(1 + net) OVER w - 1')} AS cum_net FROM pn WINDOW w AS (PARTITION BY factor ORDER BY date)")
+@query(BASE + TOP + f" SELECT factor, date, 'top10' AS portfolio, {r6('gross / 50')} AS gross, {r6('net / 50')} AS net, {r6('product(1 + gross / 50) OVER w - 1')} AS cum_gross, {r6('product(1 + net / 50) OVER w - 1')} AS cum_net FROM pn WINDOW w AS (PARTITION BY factor ORDER BY date)")
 def res_pnl_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.pnl_table({"top10": top10(spark, sf_dir)})
+    return R.pnl_table({"top10": top10(spark, sf_dir).withColumns({"gross": C("gross") / 50, "net": C("net") / 50})})
 
 
 @query(BASE + TOP + f" SELECT factor, {r6('sum(gross) / sum(turnover)')} AS margin FROM pn GROUP BY factor")

@@ -44,12 +44,12 @@ def cur_daily_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.curate(raw, K.SPECS["daily_basic"], "o_orderkey").select("date", "code", "turnover_rate", "circ_mv", "pe")
 
 
-ADJ = panel_sql().split("p AS (")[0] + "a AS (SELECT date, code, close, CAST(1 + (year(date) - 1990) / 10.0 AS DOUBLE) AS f FROM named), h AS (SELECT *, max(f) OVER (PARTITION BY code) AS hi, min(f) OVER (PARTITION BY code) AS lo FROM a)"
+ADJ = panel_sql().split("p AS (")[0] + "a AS (SELECT date, code, close, CAST(1 + (year(date) - 1990) / 7.0 AS DOUBLE) AS f FROM named), h AS (SELECT *, max(f) OVER (PARTITION BY code) AS hi, min(f) OVER (PARTITION BY code) AS lo FROM a)"
 
 
 @query(ADJ + " SELECT date, code, round(close * f / hi, 6) + 0.0 AS forward_close, round(close * f / lo, 6) + 0.0 AS backward_close, round(close * f / lo / lag(close * f / lo) OVER (PARTITION BY code ORDER BY date) - 1, 6) + 0.0 AS ret_1d FROM h")
 def cur_adjusted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = supplier_rows(spark, sf_dir).select("date", "code", "close", (1 + (F.year("date") - 1990) / 10.0).cast("double").alias("adj_factor"))
+    d = supplier_rows(spark, sf_dir).select("date", "code", "close", (1 + (F.year("date") - 1990) / 7.0).cast("double").alias("adj_factor"))
     return K.adjusted(d, ["close"]).select("date", "code", "forward_close", "backward_close", "ret_1d")
 
 
