@@ -32,6 +32,8 @@ SEGMENT = 32
 BLOCK_SEGMENTS = 16
 K1, B = 1.2, 0.75
 RUN = 3
+#: Text searched at once; postings of all its passages are held.
+SEARCH_BYTES = 1 << 20
 
 
 def words(t: Texts):
@@ -201,7 +203,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
     for index in indexes(items, item_id_col, item_text_col, index_chars):
 
         def find(batches, index=index):
-            for b in slices(batches):
+            for b in slices(batches, most=SEARCH_BYTES):
                 d, i, s, q, a = search(texts_of(b.column("text")), index, least, overlap)
                 if len(d):
                     yield pa.record_batch([b.column("doc_id").take(pa.array(d.astype(np.int64))), pa.array([index.items[int(x)] for x in i], pa.int64()), pa.array(s, pa.float64()), pa.array(q, pa.float64()), pa.array(a, pa.float64())], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -215,7 +217,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "tex
     for index in indexes(items, item_id_col, item_text_col, index_chars):
 
         def clean(batches, index=index):
-            for b in slices(batches, text_col):
+            for b in slices(batches, text_col, SEARCH_BYTES):
                 d = search(texts_of(b.column(text_col)), index, least, overlap)[0]
                 keep = np.ones(b.num_rows, bool)
                 keep[d.astype(np.int64)] = False
