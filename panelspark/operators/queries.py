@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.values import nonzero, ratio
 from panelspark.plans import asof
 
-from panelspark.plans.queries import ewm_sql, panel_sql, rank_sql, read, supplier_panel, supplier_rows
+from panelspark.plans.queries import NUDGE, ewm_sql, panel_sql, rank_sql, read, supplier_panel, supplier_rows
 from panelspark.sources import lake
 
 from . import research as R
@@ -27,11 +27,11 @@ def query(sql: str | None = None) -> Callable:
     def add(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(spark, sf_dir)
-            return df.select(*[(F.round(F.col(c), 6) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+            return df.select(*[(F.round(F.col(c) + NUDGE, 6) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
         QUERIES[f.__name__] = run
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = sql.replace(", 6)", f" + {NUDGE}, 6)")
         return f
 
     return add

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import research as R
 from panelspark.operators.queries import BASE, IC, base, long
-from panelspark.plans.queries import panel_sql, read, supplier_rows
+from panelspark.plans.queries import NUDGE, panel_sql, read, supplier_rows
 
 from . import curate as K
 from . import signals as G
@@ -23,11 +23,11 @@ def query(sql: str | None = None) -> Callable:
     def add(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(spark, sf_dir)
-            return df.select(*[(F.round(F.col(c), 6) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+            return df.select(*[(F.round(F.col(c) + NUDGE, 6) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
         QUERIES[f.__name__] = run
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = sql.replace(", 6)", f" + {NUDGE}, 6)")
         return f
 
     return add
