@@ -209,21 +209,31 @@ def group(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar: Ca
     links = links.unionByName(stored(verify(second), "links"))
     tested = tested.unionByName(second)
     comp = stored(components(links), "components")
+    def still(state: DataFrame) -> DataFrame:
+        """Only buckets that hold several components: the others never will again."""
+        mixed = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n")
+        return state.join(mixed, "bucket")
+
     samples = items.select("id", "sample").dropDuplicates(["id"])
+    state = still(member.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
+    state = stored(state.join(samples, "id"), "mixed")
     while True:
-        # Buckets that hold several components, and in them the likeliest links across.
-        now = member.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n")
-        across = now.join(mixed, "bucket").join(samples, "id")
-        third = stored(likeliest(across, tested, agree), "tested")
+        # The likeliest links across components; what they link is merged as components, not item by item.
+        third = stored(likeliest(state, tested, agree), "tested")
         found = stored(verify(third), "links")
         if not found.head(1):
             return comp
-        tested, links = tested.unionByName(third), links.unionByName(found)
-        comp = stored(components(links), "components")
+        tested = tested.unionByName(third)
+        own = state.select("id", "component").distinct()
+        edges = found.join(own.selectExpr("id AS a", "component AS ca"), "a").join(own.selectExpr("id AS b", "component AS cb"), "b")
+        merged = stored(components(edges.selectExpr("ca AS a", "cb AS b")), "merged").selectExpr("id AS component", "component AS into")
+        single = merged.join(comp, merged["component"] == comp["id"], "left_anti").selectExpr("component AS id", "into AS component")
+        comp = stored(comp.join(merged, "component", "left").select("id", F.coalesce("into", "component").alias("component")).unionByName(single), "components")
+        state = state.drop("n").join(merged, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
+        state = stored(still(state), "mixed")
 
 
-def likeliest(across: DataFrame, tested: DataFrame, agree: int, each: int = 3) -> DataFrame:
+def likeliest(across: DataFrame, tested: DataFrame, agree: int, each: int = 6) -> DataFrame:
     """(a, b): for each item the few untested items of other components in its buckets whose samples agree most, and ``agree`` at least.
 
     ``across``: bucket, n (its size), id, component, sample.  Pairs are compared
@@ -257,7 +267,7 @@ def likeliest(across: DataFrame, tested: DataFrame, agree: int, each: int = 3) -
                 order = np.lexsort((ids[j], -same, i))
                 i, j, same = i[order], j[order], same[order]
                 place = np.arange(len(i)) - np.searchsorted(i, i)
-                best.append((ids[i], ids[j], same, place < 8))
+                best.append((ids[i], ids[j], same, place < 12))
             x, y, same, few = (np.concatenate(c) for c in zip(*best)) if best else (np.zeros(0, np.int64),) * 4
             few = few.astype(bool)
             yield pa.record_batch([pa.array(x[few]), pa.array(y[few]), pa.array(same[few].astype(np.int32))], ["x", "y", "same"])
