@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import stored
-from .text import U64, mix, slices, texts_of, words_of
+from .text import U64, give_back, mix, slices, texts_of, words_of
 
 BLOCK_ROWS = 4000
 OWN = ["_mix_source", "_mix_size", "_mix_hash", "_mix_block", "_mix_p", "_mix_copies"]
@@ -107,12 +107,13 @@ def settle(p: np.ndarray, was: np.ndarray, size: np.ndarray, tries: int = 32) ->
     return p
 
 
-def sized(docs: DataFrame, keep: list[str], source_col: str, text_col: str) -> DataFrame:
-    """Kept columns with source, words and a hash that tells rows apart."""
+def sized(docs: DataFrame, keep: list[str], source_col: str, text_col: str, more: Callable | None = None, fields_more: Sequence[T.StructField] = ()) -> DataFrame:
+    """Kept columns with source, words and a hash that tells rows apart; ``more`` adds columns in the same pass."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(source_col).cast("string").alias("_mix_source"), *([] if text_col in keep else [F.col(text_col).cast("string").alias("_mix_text")]))
     name = text_col if text_col in keep else "_mix_text"  # the text is sent once, also if it is kept
     fields = [f for f in rows.schema.fields if f.name != "_mix_text"]
     schema = T.StructType([*fields, T.StructField("_mix_size", T.LongType()), T.StructField("_mix_hash", T.LongType())])
+    names = [f.name for f in schema.fields]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -133,9 +134,10 @@ def sized(docs: DataFrame, keep: list[str], source_col: str, text_col: str) -> D
             if len(seen) > 2_000_000:
                 seen = Counter({k: v for k, v in seen.items() if v > 1})
             h = mix(h + again * U64(0x9E3779B97F4A7C15)).view(np.int64)
-            yield pa.record_batch([*[b.column(f.name) for f in fields], pa.array(n), pa.array(h)], [f.name for f in schema.fields])
+            out = pa.record_batch([*[b.column(f.name) for f in fields], pa.array(n), pa.array(h)], names)
+            yield out if more is None else more(out)
 
-    return rows.mapInArrow(count, schema)
+    return rows.mapInArrow(count, T.StructType([*schema.fields, *fields_more]))
 
 
 def mix_sources(docs: DataFrame, *, keep: list[str] | None = None, source_col: str = "source", text_col: str = "text", weights: Sequence[float] = (5, 2, 1), most: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -149,31 +151,34 @@ def mix_sources(docs: DataFrame, *, keep: list[str] | None = None, source_col: s
     keep = list(docs.columns) if keep is None else keep
     if clash := [c for c in docs.columns if c.startswith("_mix_")]:
         raise ValueError(f"columns are named as this operator's own: {clash}")
-    rows = sized(docs, keep, source_col, text_col)
     found = sized(docs, [], source_col, text_col).groupBy("_mix_source").agg(F.sum("_mix_size").alias("n"), F.count("*").alias("rows")).collect()
     sizes = {r["_mix_source"]: int(r["n"]) for r in found}
     counts = {r["_mix_source"]: int(r["rows"]) for r in found}
     wanted = targets(sizes, weights, most)
     rate = {s: wanted[s] / sizes[s] if sizes[s] else 0.0 for s in sizes}
-    fields = [f for f in rows.schema.fields]
-    schema = T.StructType([*fields, T.StructField("_mix_block", T.LongType()), T.StructField("_mix_p", T.DoubleType()), T.StructField("_mix_copies", T.LongType())])
+    added = [T.StructField("_mix_block", T.LongType()), T.StructField("_mix_p", T.DoubleType()), T.StructField("_mix_copies", T.LongType())]
+
+    def block_of(b: pa.RecordBatch, counts: dict, level: int) -> pa.Array:
+        h = mix(b.column("_mix_hash").to_numpy(zero_copy_only=False).view(U64) + U64(level))
+        blocks = np.array([max(1, -(-counts[s] // block_rows)) for s in b.column("_mix_source").to_pylist()], np.int64)
+        return pa.array((h >> U64(1)).astype(np.int64) % blocks if len(h) else blocks)
+
+    def start(b: pa.RecordBatch, counts: dict = counts) -> pa.RecordBatch:
+        """A block, the whole copies and the probability of one more."""
+        r = np.array([rate[s] for s in b.column("_mix_source").to_pylist()], float)
+        whole = np.floor(r)
+        return pa.record_batch([*b.columns, block_of(b, counts, 0), pa.array(r - whole), pa.array(whole.astype(np.int64))], [*b.schema.names, *[f.name for f in added]])
+
+    rows = sized(docs, keep, source_col, text_col, start, added)
+    schema = rows.schema
     names = [f.name for f in schema.fields]
 
     def dealt(df: DataFrame, counts: dict, level: int) -> DataFrame:
-        """Blocks for this level; at first also the whole copies and the probability of one more."""
+        """New blocks for what is left."""
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                source = b.column("_mix_source").to_pylist()
-                h = mix(b.column("_mix_hash").to_numpy(zero_copy_only=False).view(U64) + U64(level))
-                blocks = np.array([max(1, -(-counts[s] // block_rows)) for s in source], np.int64)
-                block = (h >> U64(1)).astype(np.int64) % blocks if len(h) else blocks
-                if level:
-                    yield b.set_column(names.index("_mix_block"), names[-3], pa.array(block))
-                    continue
-                r = np.array([rate[s] for s in source], float)
-                whole = np.floor(r)
-                yield pa.record_batch([*b.columns, pa.array(block), pa.array(r - whole), pa.array(whole.astype(np.int64))], names)
+                yield b.set_column(names.index("_mix_block"), "_mix_block", block_of(b, counts, level))
 
         return df.mapInArrow(deal, schema)
 
@@ -189,12 +194,13 @@ def mix_sources(docs: DataFrame, *, keep: list[str] | None = None, source_col: s
                 p = settle(land(p, size), was, size)
             done = (p == 1.0).astype(np.int64)
             table = table.set_column(names.index("_mix_copies"), "_mix_copies", pa.array(table.column("_mix_copies").to_numpy() + done))
+            give_back()
             return table.set_column(names.index("_mix_p"), "_mix_p", pa.array(np.where(p == 1.0, 0.0, p)))
 
         return fly
 
     # A source's rows, then its rest, are decided in blocks; the last level has one block a source.
-    parts, level, now = [], 0, dealt(rows, counts, 0)
+    parts, level, now = [], 0, rows
     while True:
         last = all(c <= block_rows for c in counts.values())
         flown = now.groupBy("_mix_source", "_mix_block").applyInArrow(decide(last, level), schema)
