@@ -26,16 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neardup import group, sieve, sifted
+from .neardup import KEY_BITS, Sets, group, sieve, sifted
 from .storage import stored
 from .text import U64, Texts, among, mix, process_cache, shingle_hashes, slices, texts_of, word_hashes, words_of
 
 BANDS, ROWS = 16, 4
-#: The first samples make the bands; all tell how similar two documents are likely to be.
-SAMPLES = 128
+SAMPLES = BANDS * ROWS
 #: Rows of the tables of random numbers; a run picks one row of each by its own bits.
 TABLE = 4096
-KEY_BITS = 44
 CHUNK = 4096
 
 
@@ -127,7 +125,7 @@ def sample(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, docs: int) -> n
     return out
 
 
-SIGNED = "doc_id long, digest binary, bands array<long>, sample array<short>"
+SIGNED = "doc_id long, digest binary, bands array<long>"
 
 
 def digests(t: Texts) -> list[bytes]:
@@ -143,32 +141,14 @@ def signed(rows: DataFrame, known: Frequencies) -> DataFrame:
             some = np.bincount(doc, minlength=len(t)) > 0
             h = np.zeros((len(t), BANDS), U64)
             for k in range(ROWS):
-                h = mix(h * U64(0xA0761D6478BD642F) + values[:, k : BANDS * ROWS : ROWS] + np.arange(BANDS, dtype=U64)[None, :])
+                h = mix(h * U64(0xA0761D6478BD642F) + values[:, k::ROWS] + np.arange(BANDS, dtype=U64)[None, :])
             per = np.where(some, BANDS, 0)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(h[some].reshape(-1).view(np.int64)))
-            short = (mix(values) & U64(0x7FFF)).astype(np.int16)
-            samples = pa.ListArray.from_arrays(pa.array((np.arange(len(t) + 1) * SAMPLES).astype(np.int32)), pa.array(short.reshape(-1)))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(digests(t), pa.binary()), bands, samples], ["doc_id", "digest", "bands", "sample"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(digests(t), pa.binary()), bands], ["doc_id", "digest", "bands"])
 
     return rows.mapInArrow(sign, SIGNED)
 
 
-def similarity(left: Texts, right: Texts, known: Frequencies) -> np.ndarray:
-    """Weighted Jaccard similarity of each left text with the right one of the same place."""
-    n = len(left)
-    doc, key, weight = [], [], []
-    for t in (left, right):
-        d, k, c = runs(t)
-        doc.append(d)
-        key.append((d.astype(U64) << U64(KEY_BITS)) | k)
-        weight.append(c * known.of(k))
-    total = np.bincount(doc[0], weight[0], minlength=n) + np.bincount(doc[1], weight[1], minlength=n)
-    hit = np.flatnonzero(among(key[0], key[1]))
-    least = np.minimum(weight[0][hit], weight[1][np.searchsorted(key[1], key[0][hit])])
-    both = np.bincount(doc[0][hit], least, minlength=n)
-    return np.where(total > 0, both / np.maximum(total - both, 1e-12), 0.0)
-
-
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, floor: float = 0.1) -> DataFrame:
     """(doc_id, class_id) of every row: the least id among the documents it is connected with.
 
@@ -181,7 +161,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     known = frequencies(rows, floor)
     sig = stored(signed(rows, known), "signatures")
-    items = stored(sig.where("size(bands) > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sample").alias("sample")), "items")
+    items = stored(sig.where("size(bands) > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "items")
 
     def fetch(ids: DataFrame) -> DataFrame:
         """The text of each item, from the row of its id and digest."""
@@ -196,11 +176,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         some = rows.where("doc_id IS NOT NULL").mapInArrow(sift, "id long, digest binary, text string")
         return some.join(ids, ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "text")
 
-    def similar(left: pa.Array, right: pa.Array) -> np.ndarray:
-        return similarity(texts_of(left), texts_of(right), known) >= least - 1e-9
+    def sets(t: Texts) -> Sets:
+        doc, key, n = runs(t)
+        return Sets(doc, key, n, known.of(key))
 
-    # 0.8 of 128 samples is 102 with a standard deviation of 4.5.
-    comp = group(items.select("id", "bands", "sample"), fetch, similar, agree=88)
+    comp = group(items.select("id", "bands"), fetch, sets, least)
     classes = items.select("digest", "id").join(comp, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
     return sig.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 

@@ -8,9 +8,10 @@ compared again:
 
 1. each item with one hub: of its buckets' hubs the one that meets most items;
 2. the other hubs of its buckets, where the two are not yet connected;
-3. within buckets that still hold several components, again and again until it
-   links nothing more, each item with the few items of other components whose
-   samples agree most with its own.
+3. within buckets that still hold several components every pair of items of
+   different components, on the exact sets, where the items lie: only the links
+   leave.  Nothing is left out, so a bucket of n items that are not alike costs
+   up to n * n / 2 comparisons.
 
 Components come from a union-find over partitions, every step a written table.
 """
@@ -18,20 +19,26 @@ Components come from a union-find over partitions, every step a written table.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import U64, deal, pack, unpack
 from .storage import stored
-from .text import slices
+from .text import Texts, among, slices, texts_of
 
 BLOCK_KEYS = 2_000_000
-#: Items of a bucket that one task compares with the others of the bucket.
-GROUP_ROWS = 2000
+#: A larger bucket is cut into parts of so many items; a task compares two parts.
+GROUP_ROWS = 1000
+#: Cells of fewer items are compared pair by pair, others by products of matrices.
+FEW = 32
+#: Bytes of text that a task compares at once, unless a cell has more.
+CELL_BYTES = 8 << 20
+KEY_BITS = 44
 STARS = "bucket long, a long, b long"
 
 
@@ -165,14 +172,21 @@ def sifted(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def group(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar: Callable[[pa.Array, pa.Array], np.ndarray], agree: int) -> DataFrame:
+class Sets(NamedTuple):
+    """Weighted sets: sorted by item, then key (of KEY_BITS), each once; ``unit`` is the weight of one of ``count``."""
+
+    item: np.ndarray
+    key: np.ndarray
+    count: np.ndarray
+    unit: np.ndarray
+
+
+def group(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Callable[[Texts], Sets], least: float) -> DataFrame:
     """(id, component) of every item linked to another.
 
-    ``items``: id, bands (array of long), sample (array of short).  ``fetch`` takes
-    ids and returns (id, text); it is asked once, for the items that share a band
-    with another.  ``similar`` tells for texts and texts which pairs are links.
-    ``agree``: of the samples of two items, how many must be equal for a comparison
-    in the third round and after.
+    ``items``: id, bands (array of long).  ``fetch`` takes ids and returns (id,
+    text); it is asked once, for the items that share a band with another.  ``sets``
+    gives the sets of texts; a weighted Jaccard similarity of ``least`` is a link.
     """
     star = stars(items)
     member = stored(star.select("bucket", F.col("a").alias("id")).unionByName(star.select("bucket", F.col("b").alias("id"))).distinct(), "members")
@@ -183,7 +197,10 @@ def group(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar: Ca
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, "ta"):
-                yield b.filter(pa.array(similar(b.column("ta"), b.column("tb")))).select(["a", "b"])
+                n = b.num_rows
+                both = pa.concat_arrays([b.column("ta"), b.column("tb")])
+                alike = Compared(sets(texts_of(both)), 2 * n).similarity(np.arange(n), np.arange(n) + n)
+                yield b.filter(pa.array(alike >= least - 1e-9)).select(["a", "b"])
 
         return full.mapInArrow(check, "a long, b long")
 
@@ -207,88 +224,165 @@ def group(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar: Ca
 
     second = stored(apart(pairs.select(*ordered).distinct()), "tested")
     links = links.unionByName(stored(verify(second), "links"))
-    tested = tested.unionByName(second)
     comp = stored(components(links), "components")
-    def still(state: DataFrame) -> DataFrame:
-        """Only buckets that hold several components: the others never will again."""
-        mixed = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n")
-        return state.join(mixed, "bucket")
-
-    samples = items.select("id", "sample").dropDuplicates(["id"])
-    state = still(member.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
-    state = stored(state.join(samples, "id"), "mixed")
-    while True:
-        # The likeliest links across components; what they link is merged as components, not item by item.
-        third = stored(likeliest(state, tested, agree), "tested")
-        found = stored(verify(third), "links")
-        if not found.head(1):
-            return comp
-        tested = tested.unionByName(third)
-        own = state.select("id", "component").distinct()
-        edges = found.join(own.selectExpr("id AS a", "component AS ca"), "a").join(own.selectExpr("id AS b", "component AS cb"), "b")
-        merged = stored(components(edges.selectExpr("ca AS a", "cb AS b")), "merged").selectExpr("id AS component", "component AS into")
-        single = merged.join(comp, merged["component"] == comp["id"], "left_anti").selectExpr("component AS id", "into AS component")
-        comp = stored(comp.join(merged, "component", "left").select("id", F.coalesce("into", "component").alias("component")).unionByName(single), "components")
-        state = state.drop("n").join(merged, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
-        state = stored(still(state), "mixed")
-
-
-def likeliest(across: DataFrame, tested: DataFrame, agree: int, each: int = 6) -> DataFrame:
-    """(a, b): for each item the few untested items of other components in its buckets whose samples agree most, and ``agree`` at least.
-
-    ``across``: bucket, n (its size), id, component, sample.  Pairs are compared
-    where they lie and only the best leave; a large bucket is dealt to several
-    tasks, each with a share of the items on one side.
+
+    # Buckets that hold several components; of those with the same items one.
+    state = member.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    about = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(id))").alias("who"))
+    mixed = about.where("x < y").dropDuplicates(["n", "who"]).select("bucket", "n")
+    state = stored(state.join(mixed, "bucket").join(texts, "id"), "mixed")
+    found = stored(across(state, sets, least), "links")
+    if not found.head(1):
+        return comp
+    # What they link is merged as components, not item by item.
+    merged = stored(components(found), "merged").selectExpr("id AS component", "component AS into")
+    single = merged.join(comp, merged["component"] == comp["id"], "left_anti").selectExpr("component AS id", "into AS component")
+    return stored(comp.join(merged, "component", "left").select("id", F.coalesce("into", "component").alias("component")).unionByName(single), "components")
+
+
+class Compared:
+    """Some items' sets, for exact similarities of any pairs of them."""
+
+    def __init__(self, s: Sets, n: int):
+        self.sets = s
+        self.weight = s.count * s.unit
+        self.total = np.bincount(s.item, self.weight, minlength=n)
+        self.first = np.searchsorted(s.item, np.arange(n + 1))
+        self.full = (s.item.astype(U64) << U64(KEY_BITS)) | s.key
+
+    def similarity(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i))
+        size = np.diff(self.first)
+        i, j = np.where(size[i] <= size[j], i, j), np.where(size[i] <= size[j], j, i)
+        for z in np.split(np.arange(len(i)), np.flatnonzero(np.diff(np.cumsum(size[i]) // 1_000_000)) + 1) if len(i) else ():
+            n = size[i[z]]
+            pair = np.repeat(np.arange(len(z)), n)
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[i[z]], n)
+            key = (j[z][pair].astype(U64) << U64(KEY_BITS)) | self.sets.key[at]
+            hit = np.flatnonzero(among(key, self.full))
+            both = np.minimum(self.weight[at[hit]], self.weight[np.searchsorted(self.full, key[hit])])
+            both = np.bincount(pair[hit], both, minlength=len(z))
+            out[z] = both / np.maximum(self.total[i[z]] + self.total[j[z]] - both, 1e-12)
+        return out
+
+    def fits(self, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+        """Whether two sets are of so like a weight that they can be links."""
+        a, b = self.total[i], self.total[j]
+        return np.minimum(a, b) >= (least - 1e-9) * np.maximum(a, b)
+
+    def shared(self, rows: np.ndarray, columns: np.ndarray, width: int = 2048) -> np.ndarray:
+        """The weight that each row's set has in common with each column's, in single precision."""
+        both = np.unique(np.concatenate([rows, columns]))
+        n = np.diff(self.first)[both]
+        owner = np.repeat(np.arange(len(both)), n)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[both], n)
+        # The k-th copy of a key is an element of its own: the lesser count is what two items have in common.
+        count = self.sets.count[at]
+        owner, unit = np.repeat(owner, count), np.repeat(self.sets.unit[at], count)
+        copy = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        element, df = np.unique(np.repeat(self.sets.key[at], count) | (copy.astype(U64) << U64(KEY_BITS)), return_inverse=True, return_counts=True)[1:]
+        many = df > 1
+        place = (np.cumsum(many) - 1)[element]
+        keep = np.flatnonzero(many[element])
+        keep = keep[np.argsort(place[keep], kind="stable")]
+        owner, place, root = owner[keep], place[keep], np.sqrt(unit[keep]).astype(np.float32)
+        x, y = np.searchsorted(both, rows), np.searchsorted(both, columns)
+        out = np.zeros((len(rows), len(columns)), np.float32)
+        for a in range(0, int(many.sum()), width):
+            p, q = np.searchsorted(place, [a, a + width])
+            dense = np.zeros((len(both), width), np.float32)
+            dense[owner[p:q], place[p:q] - a] = root[p:q]
+            out += dense[x] @ dense[y].T
+        return out
+
+
+def across(state: DataFrame, sets: Callable[[Texts], Sets], least: float) -> DataFrame:
+    """(a, b): components that a link between items of one bucket connects.
+
+    ``state``: bucket, n (its size), id, component, text.  All pairs of different
+    components are compared where they lie; a large bucket is cut into parts, and
+    every two parts meet in a cell.
     """
     parts = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
-    dealt = across.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("own", F.pmod(F.xxhash64("id"), parts) == F.col("part"))
-    dealt = dealt.select("bucket", "part", "own", "id", "component", "sample").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    dealt = state.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "text")
+    dealt = dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches):
-            bucket, part = (rows.column(c).to_numpy() for c in ("bucket", "part"))
-            ids, comp = rows.column("id").to_numpy(), rows.column("component").to_numpy()
-            own = rows.column("own").to_numpy(zero_copy_only=False)
-            flat = rows.column("sample").combine_chunks() if isinstance(rows.column("sample"), pa.ChunkedArray) else rows.column("sample")
-            sample = flat.flatten().to_numpy().reshape(len(ids), -1)
-            first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])]))
+            bucket, p, q, own, ids, comp = (rows.column(c).to_numpy() for c in ("bucket", "p", "q", "own", "id", "component"))
+            _, at, item = np.unique(ids, return_index=True, return_inverse=True)
+            t = texts_of(rows.column("text").take(pa.array(at)))
+            c = Compared(sets(t), len(at))
+            first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
             size = np.diff(np.append(first, len(ids)))
-            begin, many = np.repeat(first, size), np.repeat(size, size)
-            left = np.flatnonzero(own)
-            best = []
-            for some in np.split(left, np.flatnonzero(np.diff(np.cumsum(many[left]) // 200_000)) + 1):
-                i = np.repeat(some, many[some])
-                j = np.arange(len(i)) - np.repeat(np.cumsum(many[some]) - many[some], many[some]) + begin[i]
-                ok = comp[i] != comp[j]
-                i, j = i[ok], j[ok]
-                same = (sample[i] == sample[j]).sum(1)
-                ok = same >= agree
-                i, j, same = i[ok], j[ok], same[ok]
-                order = np.lexsort((ids[j], -same, i))
-                i, j, same = i[order], j[order], same[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                best.append((ids[i], ids[j], same, place < 12))
-            x, y, same, few = (np.concatenate(c) for c in zip(*best)) if best else (np.zeros(0, np.int64),) * 4
-            few = few.astype(bool)
-            yield pa.record_batch([pa.array(x[few]), pa.array(y[few]), pa.array(same[few].astype(np.int32))], ["x", "y", "same"])
-
-    pairs = dealt.mapInArrow(compare, "x long, y long, same int").select("x", "same", F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    fresh = pairs.join(tested, ["a", "b"], "left_anti")
-    order = Window.partitionBy("x").orderBy(F.col("same").desc(), "a", "b")
-    return fresh.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= each).select("a", "b").distinct()
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.Table]:
-    """Sorted batches in tables that end where a (bucket, part) ends."""
+            left = np.flatnonzero(np.repeat((size <= FEW) & (p[first] == q[first]), size))
+            after = np.repeat(first + size, size)[left] - left - 1
+            i = np.repeat(left, after)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+            ok = comp[i] != comp[j]
+            i, j = i[ok], j[ok]
+            # A pair that meets in several buckets is compared once.
+            pair = np.unique(np.minimum(item[i], item[j]) * len(at) + np.maximum(item[i], item[j]), return_index=True)[1]
+            i, j = i[pair], j[pair]
+            ok = c.fits(item[i], item[j], least)
+            i, j = i[ok], j[ok]
+            ok = c.similarity(item[i], item[j]) >= least - 1e-9
+            found = [(comp[i[ok]], comp[j[ok]])]
+            for f, n in zip(first.tolist(), size.tolist()):
+                if n > FEW or p[f] != q[f]:
+                    z = slice(f, f + n)
+                    found.append(linked(c, item[z], comp[z], own[z] if p[f] != q[f] else None, least))
+            a, b = (np.concatenate(x) for x in zip(*found))
+            if len(a):
+                a, b, _ = forest((np.maximum(a, b), np.minimum(a, b)))
+            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def linked(c: Compared, item: np.ndarray, comp: np.ndarray, side: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of components of a large cell that links connect; pairs of one side are left to another cell."""
+    names, label = np.unique(comp, return_inverse=True)
+    # One item of every pair lies outside the largest component.
+    few = label != np.bincount(label).argmax()
+    if side is None:
+        halves = [(np.flatnonzero(few), np.arange(len(item)))]
+    else:
+        one = side == side.min()
+        halves = [(np.flatnonzero(few & one), np.flatnonzero(~one)), (np.flatnonzero(few & ~one), np.flatnonzero(one))]
+    a, b = [], []
+    for rows, columns in halves:
+        if not len(rows) or not len(columns):
+            continue
+        both = c.shared(item[rows], item[columns])
+        for k, r in enumerate(rows.tolist()):
+            todo = np.flatnonzero(label[columns] != label[r])
+            alike = both[k, todo] / np.maximum(c.total[item[r]] + c.total[item[columns[todo]]] - both[k, todo], 1e-12)
+            # Single precision decides unless it is close.
+            sure = alike >= least + 1e-3
+            near = np.flatnonzero(~sure & (alike >= least - 1e-3))
+            sure[near] = c.similarity(np.full(len(near), item[r]), item[columns[todo[near]]]) >= least - 1e-9
+            other = np.unique(label[columns[todo[sure]]])
+            if len(other):
+                a.append(np.full(len(other), names[label[r]]))
+                b.append(names[other])
+                label[np.isin(label, other)] = label[r]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted batches in tables that end where a cell (bucket, p, q) ends."""
     held: list[pa.Table] = []
     for b in batches:
         if not b.num_rows:
             continue
         held.append(pa.Table.from_batches([b]))
-        if sum(t.num_rows for t in held) >= rows:
+        if sum(t.nbytes for t in held) >= CELL_BYTES:
             t = pa.concat_tables(held)
-            key = [t.column(c).to_numpy() for c in ("bucket", "part")]
-            last = np.flatnonzero((key[0][:-1] != key[0][-1]) | (key[1][:-1] != key[1][-1]))
+            bucket, p, q = (t.column(c).to_numpy() for c in ("bucket", "p", "q"))
+            last = np.flatnonzero((bucket[:-1] != bucket[1:]) | (p[:-1] != p[1:]) | (q[:-1] != q[1:]))
             if len(last):
                 yield t.slice(0, int(last[-1]) + 1).combine_chunks()
                 held = [t.slice(int(last[-1]) + 1)]

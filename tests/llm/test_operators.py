@@ -415,3 +415,32 @@ def test_pipeline_stages(spark):
         now = spark.createDataFrame(rows, now.schema)
     last = c.STAGES[-1][1](spark, now, sf)
     assert last.count() == now.count()
+
+
+def test_large_bucket_of_items_that_are_not_alike(spark):
+    """One true pair among many items of one bucket that are all rather alike."""
+    from panelspark.llm import neardup
+
+    r = random.Random(8)
+    stem = [f"stem{k}" for k in range(80)]
+    texts = [" ".join([*stem, *(f"own{i}x{k}" for k in range(14))]) for i in range(300)]  # 80 of 108 words: 0.74
+    twin = texts[123].split()
+    twin[80:86] = [f"twin{k}" for k in range(6)]  # 88 of 100
+    texts.append(" ".join(twin))
+    r.shuffle(texts)
+
+    def sets(t):
+        w = X.words_of(t)
+        key = np.unique((w.doc.astype(np.uint64) << np.uint64(44)) | (X.word_hashes(t, w) >> np.uint64(20)))
+        return neardup.Sets((key >> np.uint64(44)).astype(np.int64), key & np.uint64((1 << 44) - 1), np.ones(len(key), np.int64), np.ones(len(key)))
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    items = rows.selectExpr("id", "array(7L, 8L) AS bands")
+    want = sorted(i for i, x in enumerate(texts) if x in (" ".join(twin), " ".join([*stem, *(f"own123x{k}" for k in range(14))])))
+    for part in (1000, 90):
+        neardup.GROUP_ROWS, was = part, neardup.GROUP_ROWS
+        try:
+            got = neardup.group(items, lambda ids: rows.join(ids.select("id"), "id"), sets, 0.8).collect()
+        finally:
+            neardup.GROUP_ROWS = was
+        assert sorted((x.id, x.component) for x in got) == [(i, want[0]) for i in want]
