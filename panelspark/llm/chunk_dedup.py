@@ -9,7 +9,8 @@ it is at least ``least_chars`` long, so a common phrase or line is left alone.
 
 Scale: blocks of documents send each distinct digest once to the shard of the
 digest, with the least id of a document that has it, and get back whether it
-repeats and who owns it.  A passage that a third of all documents share is one key a block.
+repeats, who owns it and whether the block holds the copy that stays: of rows of
+one id in several blocks one block's.  A passage that a third of all documents share is one key a block.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import U64, deal, pack, pack_sorted, unpack, unpack_sorted
@@ -64,29 +65,30 @@ def chunks(t: Texts, mean: int = MEAN_BYTES) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(t.offsets, start, "right") - 1
 
 
-BLOCK = "block string, docs binary, counts binary, keys binary, chars binary, chunks long"
+BLOCK = "block string, docs binary, marks binary, counts binary, keys binary, chars binary, chunks long"
 
 
 def make_blocks(batches: Iterator[pa.RecordBatch], block_chunks: int, mean: int) -> Iterator[pa.RecordBatch]:
-    docs, counts, keys, chars, size = [], [], [], [], 0
+    docs, marks, counts, keys, chars, size = [], [], [], [], [], 0
 
     def block() -> pa.RecordBatch:
         k = np.concatenate(keys)
-        row = [uuid.uuid4().hex, np.concatenate(docs).tobytes(), pack(np.concatenate(counts)), k.tobytes(), pack(np.concatenate(chars)), len(k)]
-        return pa.record_batch([pa.array([x], y) for x, y in zip(row, [pa.string(), *[pa.binary()] * 4, pa.int64()])], ["block", "docs", "counts", "keys", "chars", "chunks"])
+        row = [uuid.uuid4().hex, np.concatenate(docs).tobytes(), np.concatenate(marks).tobytes(), pack(np.concatenate(counts)), k.tobytes(), pack(np.concatenate(chars)), len(k)]
+        return pa.record_batch([pa.array([x], y) for x, y in zip(row, [pa.string(), *[pa.binary()] * 5, pa.int64()])], ["block", "docs", "marks", "counts", "keys", "chars", "chunks"])
 
     for b in slices(batches):
         t = texts_of(b.column("text"))
         start, end, doc = chunks(t, mean)
         points = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])
         docs.append(b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64))
+        marks.append(b.column("mark").to_numpy())
         counts.append(np.bincount(doc, minlength=len(t)))
         keys.append(span_hash(prefix_hash(t.data), start, end))
         chars.append(points[end] - points[start])
         size += len(start)
         if size >= block_chunks:
             yield block()
-            docs, counts, keys, chars, size = [], [], [], [], 0
+            docs, marks, counts, keys, chars, size = [], [], [], [], [], 0
     if docs:
         yield block()
 
@@ -102,7 +104,7 @@ def owned(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 ASK = "shard int, block string, keys binary, docs binary, counts binary"
-ANSWER = "block string, shard int, repeats binary, docs binary"
+ANSWER = "block string, shard int, repeats binary, holds binary, docs binary"
 
 
 def ask(frames: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
@@ -116,22 +118,25 @@ def ask(frames: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
 
 
 def answer(frame: pd.DataFrame) -> pd.DataFrame:
-    """For each key sent: whether it repeats, and for those that do the least id."""
+    """For each key sent: whether it repeats, and for those that do whether this block holds the copy that stays, and the least id."""
     keys = [unpack_sorted(k) for k in frame["keys"]]
     cuts = np.cumsum([len(k) for k in keys])[:-1]
     key = np.concatenate(keys)
     doc = np.concatenate([unpack(x).view(np.int64) for x in frame["docs"]])
     n = np.concatenate([unpack(x).astype(np.int64) for x in frame["counts"]])
-    order = np.argsort(key)
+    rank = np.repeat(np.argsort(np.argsort(frame["block"].to_numpy())), [len(k) for k in keys])
+    # The copy that stays is of the least id, and of rows of that id in the block of least name.
+    order = np.lexsort((rank, doc, key))
     first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
     size = np.diff(np.append(first, len(key)))
-    many, least = np.empty(len(key), bool), np.empty(len(key), np.int64)
+    many, holds, least = np.empty(len(key), bool), np.zeros(len(key), bool), np.empty(len(key), np.int64)
+    holds[order[first]] = True
     many[order] = np.repeat(np.add.reduceat(n[order], first) > 1, size)
-    least[order] = np.repeat(np.minimum.reduceat(doc[order], first), size)
-    return pd.DataFrame({"block": frame["block"], "shard": frame["shard"], "repeats": [pack(m) for m in np.split(many, cuts)], "docs": [pack(x[m].view(U64)) for x, m in zip(np.split(least, cuts), np.split(many, cuts))]})
+    least[order] = np.repeat(doc[order][first], size)
+    return pd.DataFrame({"block": frame["block"], "shard": frame["shard"], "repeats": [pack(m) for m in np.split(many, cuts)], "holds": [pack(x[m]) for x, m in zip(np.split(holds, cuts), np.split(many, cuts))], "docs": [pack(x[m].view(U64)) for x, m in zip(np.split(least, cuts), np.split(many, cuts))]})
 
 
-SPANS = "doc_id long, start long, end long, first_doc_id long"
+SPANS = "doc_id long, start long, end long, first_doc_id long, mark long, row string"
 
 
 def settle(left: pd.DataFrame, right: pd.DataFrame, shards: int, least_chars: int) -> pd.DataFrame:
@@ -139,20 +144,21 @@ def settle(left: pd.DataFrame, right: pd.DataFrame, shards: int, least_chars: in
     row = next(left.itertuples())
     docs, doc, keys, inverse, _, _ = owned(row)
     o, cuts, _ = deal(keys, shards)
-    many, owner = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    many, holds, owner = np.zeros(len(keys), bool), np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
     for x in right.itertuples():
         at = o[cuts[x.shard] : cuts[x.shard + 1]]
         m = unpack(x.repeats).astype(bool)
         many[at] = m
+        holds[at[m]] = unpack(x.holds).astype(bool)
         owner[at[m]] = unpack(x.docs).view(np.int64)
     chars = unpack(row.chars).astype(np.int64)
     if not len(doc):
-        return pd.DataFrame({c.split()[0]: pd.Series([], dtype="int64") for c in SPANS.split(", ")})
-    # The first place of a key in the document that owns it is kept, whichever row has that id.
-    order = np.lexsort((np.arange(len(doc)), inverse))
-    again = np.zeros(len(doc), bool)
-    again[order[1:]] = inverse[order][1:] == inverse[order][:-1]
-    theirs = many[inverse] & ((owner[inverse] != docs[doc]) | again)
+        return pd.DataFrame({c.split()[0]: pd.Series([], dtype="object" if c == "row string" else "int64") for c in SPANS.split(", ")})
+    # One copy of a key is kept: in the block that holds it, the owner's first place, whatever stands before it.
+    mine = np.flatnonzero(holds[inverse] & (owner[inverse] == docs[doc]))
+    kept = np.zeros(len(doc), bool)
+    kept[mine[np.unique(inverse[mine], return_index=True)[1]]] = True
+    theirs = many[inverse] & ~kept
     edge = np.concatenate([[True], (doc[1:] != doc[:-1]) | (theirs[1:] != theirs[:-1])])
     first = np.flatnonzero(edge)
     size = np.add.reduceat(chars, first)
@@ -162,17 +168,17 @@ def settle(left: pd.DataFrame, right: pd.DataFrame, shards: int, least_chars: in
     keep = theirs[first] & (size >= least_chars)
     first, last = first[keep], last[keep]
     d = doc[first]
-    return pd.DataFrame({"doc_id": docs[d], "start": end[first] - chars[first] - begin[d], "end": end[last] - begin[d], "first_doc_id": owner[inverse[first]]})
+    return pd.DataFrame({"doc_id": docs[d], "start": end[first] - chars[first] - begin[d], "end": end[last] - begin[d], "first_doc_id": owner[inverse[first]], "mark": np.frombuffer(row.marks, np.int64)[d], "row": pd.Series([f"{row.block}/{i}" for i in d.tolist()], dtype=object)})
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 100, mean_bytes: int = MEAN_BYTES, block_chunks: int = 1_000_000, shard_chunks: int = 2_000_000) -> DataFrame:
-    """(doc_id, start, end, first_doc_id): passages that an earlier document, or the document itself, holds before.
+    """(doc_id, start, end, first_doc_id, mark, row): passages that an earlier document, or the document itself, holds before.
 
     Offsets are code points, end exclusive, along chunk edges.  Null and empty
-    texts and rows without an id are left alone.  Of rows of one id and text in
-    different blocks each keeps its own.
+    texts and rows without an id are left alone.  Of rows of one id and text one
+    keeps its own: ``mark`` (a hash of the text) and ``row`` tell them apart.
     """
-    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     blocks = stored(rows.mapInArrow(lambda it: make_blocks(it, block_chunks, mean_bytes), BLOCK), "chunks")
     total = int(blocks.agg(F.sum("chunks")).first()[0] or 0)
     shards = max(8, -(-total // shard_chunks))
@@ -185,11 +191,14 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans cut out of their texts."""
-    cuts = spans.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    """``docs`` with the spans cut out of their texts, each row's spans out of one row of that id and text."""
+    cuts = spans.groupBy(F.col("doc_id").alias("_cut_id"), F.col("mark").alias("_cut_mark"), "row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    cuts = cuts.withColumn("_cut_n", F.row_number().over(Window.partitionBy("_cut_id", "_cut_mark").orderBy("row"))).drop("row")
     text = F.col(f"`{text_col}`")
     begun = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
     step = lambda s, c: F.struct(F.concat(s["kept"], F.substring(text, (s["at"] + 1).cast("int"), F.greatest(c["start"] - s["at"], F.lit(0)).cast("int"))).alias("kept"), F.greatest(s["at"], c["end"]).alias("at"))
     done = lambda s: F.concat(s["kept"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
-    joined = docs.join(cuts, F.col(f"`{id_col}`").cast("long") == F.col("_cut_id"), "left")
+    ids, mark = F.col(f"`{id_col}`").cast("long"), F.xxhash64(text.cast("string"))
+    numbered = docs.withColumn("_n", F.row_number().over(Window.partitionBy(ids, mark).orderBy(F.lit(0))))
+    joined = numbered.join(cuts, (ids == F.col("_cut_id")) & (mark == F.col("_cut_mark")) & (F.col("_n") == F.col("_cut_n")), "left")
     return joined.select(*[F.when(F.col("_cuts").isNull(), F.col(f"`{c}`")).otherwise(F.aggregate("_cuts", begun, step, done)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

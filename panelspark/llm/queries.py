@@ -52,7 +52,7 @@ def tokenizer_path() -> str:
 
 
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents"))
+    return repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "first_doc_id")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -444,3 +444,18 @@ def test_large_bucket_of_items_that_are_not_alike(spark):
         finally:
             neardup.GROUP_ROWS = was
         assert sorted((x.id, x.component) for x in got) == [(i, want[0]) for i in want]
+
+
+def test_one_copy_of_a_passage_stays(spark):
+    """The owner's copy, also after that of a greater id, and one of repeated rows in one block or two."""
+    r = random.Random(12)
+    passage = words(r, 60)
+    for ids in ((5, 1), (5, 3, 1), (1, 1), (7, 1, 1, 5)):
+        rows = [(i, f"{words(r, 30)} {passage} {words(r, 30)}") for i in ids]
+        rows = [(i, next(t for j, t in rows if j == i)) for i in ids]
+        for parts in (1, 2):
+            df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+            got = chunk_dedup.repeated_spans(df).cache()
+            middle = passage[200:260]
+            left = [x.doc_id for x in chunk_dedup.remove_spans(df, got).collect() if middle in x.text]
+            assert left == [1] and got.select("row").distinct().count() == len(ids) - 1
