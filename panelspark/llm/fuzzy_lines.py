@@ -125,8 +125,9 @@ def signed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(sign, LINES)
 
 
-def sets(t: Texts) -> Sets:
+def sets(column: pa.Array) -> Sets:
     """The sets of runs of lines."""
+    t = texts_of(column)
     line, x = shingles(LOWER[t.data], t.offsets[:-1], t.offsets[1:])
     key = np.sort((line.astype(U64) << U64(KEY_BITS)) | (x >> U64(64 - KEY_BITS)))
     key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key

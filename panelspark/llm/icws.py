@@ -2,11 +2,10 @@
 
 A document is the set of its runs of five words (A-Z lower-cased), weighted by
 TF-IDF: how often the run occurs times ln(1 + N / df), where a document frequency
-below a share ``floor`` of all documents counts as that share.  So only runs of
-at least ``floor * N`` documents need a count, of which there are at most the mean
-length over ``floor``, however large the corpus.  They are found exactly in two
-passes: blocks name what is frequent within them, sums rule out what cannot be
-frequent in all, and the rest is counted over all documents.
+below a share ``floor`` of all documents counts as that share (0: df as it is).
+The document frequency of every run is counted: blocks of documents send each
+distinct run once to the shard of its hash and get its frequency back, and the
+set of a document is kept with these for verification.
 
 A sample of weight w draws r, c ~ Gamma(2, 1) and b ~ U(0, 1) by the run and takes
 t = floor(ln w / r + b); the run of least ln c - r (t - b + 1) is the sample, and
@@ -18,7 +17,8 @@ Exact copies are one item; see ``neardup`` for the rest.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import deal, pack, pack_sorted, summed, unpack, unpack_sorted
 from .neardup import KEY_BITS, Sets, group, sieve, sifted
 from .storage import stored
-from .text import U64, Texts, among, mix, process_cache, shingle_hashes, slices, texts_of, word_hashes, words_of
+from .text import U64, Texts, mix, process_cache, shingle_hashes, slices, texts_of, word_hashes, words_of
 
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
@@ -47,49 +48,54 @@ def runs(t: Texts, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (key[first] >> U64(KEY_BITS)).astype(np.int64), key[first] & U64((1 << KEY_BITS) - 1), count
 
 
-class Frequencies:
-    """ln(1 + N / df) by run; runs that aren't listed have the greatest."""
+BLOCK = "block string, docs binary, digests binary, sizes binary, keys binary, counts binary, rows long, runs long"
+ASK = "shard int, block string, keys binary, df binary"
+ANSWER = "block string, shard int, df binary"
 
-    def __init__(self, keys: np.ndarray, df: np.ndarray, n: int, floor: float):
-        order = np.argsort(keys)
-        self.keys, self.idf = keys[order], np.log1p(n / np.maximum(df[order], floor * n)) if n else df[order].astype(float)
-        self.rare = float(np.log1p(1 / floor))
 
-    def of(self, key: np.ndarray) -> np.ndarray:
-        out = np.full(len(key), self.rare)
-        if len(self.keys):
-            hit = np.flatnonzero(among(key, self.keys))
-            out[hit] = self.idf[np.searchsorted(self.keys, key[hit])]
-        return out
+def make_blocks(batches: Iterator[pa.RecordBatch], block_runs: int) -> Iterator[pa.RecordBatch]:
+    """Documents as their distinct runs and how often each occurs."""
+    schema = pa.schema([(x.split()[0], {"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}[x.split()[1]]) for x in BLOCK.split(", ")])
+    held: list[tuple] = []
 
+    def block() -> pa.RecordBatch:
+        docs, digest, size, key, n = zip(*held)
+        sink = pa.BufferOutputStream()
+        ids = pa.concat_arrays(docs)
+        with pa.ipc.new_stream(sink, pa.schema([("d", pa.int64())])) as w:
+            w.write_batch(pa.record_batch([ids], ["d"]))
+        row = [uuid.uuid4().hex, sink.getvalue().to_pybytes(), b"".join(x for d in digest for x in d), pack(np.concatenate(size)), pack(np.concatenate(key)), pack(np.concatenate(n)), len(ids), sum(map(len, key))]
+        held.clear()
+        return pa.record_batch([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
-def frequencies(rows: DataFrame, floor: float) -> Frequencies:
-    """Document frequencies of all runs in at least ``floor * N`` documents, exactly."""
+    for b in slices(batches):
+        t = texts_of(b.column("text"))
+        doc, key, n = runs(t)
+        held.append((b.column("doc_id"), digests(t), np.bincount(doc, minlength=len(t)), key, n))
+        if sum(len(h[3]) for h in held) >= block_runs:
+            yield block()
+    if held:
+        yield block()
+
+
+def distinct_runs(row, shards: int) -> tuple:  # noqa: ANN001
+    """Of a block: the distinct run of each run, how many documents have it, and the distinct runs as ``deal`` orders them."""
+    keys, inverse, n = np.unique(unpack(row.keys), return_inverse=True, return_counts=True)
+    return inverse, n, deal(keys << U64(64 - KEY_BITS), shards, KEY_BITS)
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            _, key, _ = runs(texts_of(b.column("text")))
-            key, n = np.unique(key, return_counts=True)
-            many = n >= floor * b.num_rows / 2
-            yield pa.record_batch([pa.array(np.append(key[many].astype(np.int64), -1)), pa.array(np.append(n[many], b.num_rows))], ["key", "n"])
 
-    # A run in floor * N documents is named, with half of them at least, by blocks where it has floor / 2.
-    named = stored(rows.mapInArrow(local, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "frequent")
-    total = named.where("key = -1").first()
-    n = int(total["n"]) if total else 0
-    chosen = np.sort(np.array([r["key"] for r in named.where((F.col("key") >= 0) & (F.col("n") >= floor * n / 2)).select("key").collect()], np.int64)).astype(U64)
-    if not len(chosen):
-        return Frequencies(np.zeros(0, U64), np.zeros(0, np.int64), n, floor)
+def ask(frames: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for row in frame.itertuples():
+            _, n, (o, cuts, inner) = distinct_runs(row, shards)
+            full = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
+            yield pd.DataFrame({"shard": full, "block": row.block, "keys": [pack_sorted(inner[cuts[s] : cuts[s + 1]]) for s in full], "df": [pack(n[o][cuts[s] : cuts[s + 1]]) for s in full]})
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(chosen), np.int64)
-        for b in slices(batches):
-            _, key, _ = runs(texts_of(b.column("text")))
-            np.add.at(seen, np.searchsorted(chosen, key[among(key, chosen)]), 1)
-        yield pa.record_batch([pa.array(np.flatnonzero(seen)), pa.array(seen[seen > 0])], ["at", "n"])
 
-    counted = rows.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= floor * n).collect()
-    return Frequencies(chosen[[r["at"] for r in counted]], np.array([r["n"] for r in counted], np.int64), n, floor)
+def answer(frame: pd.DataFrame) -> pd.DataFrame:
+    keys = [unpack_sorted(x) for x in frame["keys"]]
+    total = summed(np.concatenate(keys), np.concatenate([unpack(x) for x in frame["df"]]).astype(np.int64))
+    return pd.DataFrame({"block": frame["block"], "shard": frame["shard"], "df": [pack(x) for x in np.split(total, np.cumsum([len(k) for k in keys])[:-1])]})
 
 
 def tables() -> tuple[np.ndarray, ...]:
@@ -125,31 +131,34 @@ def sample(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, docs: int) -> n
     return out
 
 
-SIGNED = "doc_id long, digest binary, bands array<long>"
+SIGNED = "doc_id long, digest binary, bands array<long>, runs binary"
 
 
 def digests(t: Texts) -> list[bytes]:
     return [hashlib.blake2b(t.raw(i), digest_size=16).digest() for i in range(len(t))]
 
 
-def signed(rows: DataFrame, known: Frequencies) -> DataFrame:
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            t = texts_of(batch.column("text"))
-            doc, key, n = runs(t)
-            values = sample(doc, key, n * known.of(key), len(t)).view(np.uint32).astype(U64)
-            some = np.bincount(doc, minlength=len(t)) > 0
-            h = np.zeros((len(t), BANDS), U64)
-            for k in range(ROWS):
-                h = mix(h * U64(0xA0761D6478BD642F) + values[:, k::ROWS] + np.arange(BANDS, dtype=U64)[None, :])
-            per = np.where(some, BANDS, 0)
-            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(h[some].reshape(-1).view(np.int64)))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(digests(t), pa.binary()), bands], ["doc_id", "digest", "bands"])
-
-    return rows.mapInArrow(sign, SIGNED)
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, floor: float = 0.1) -> DataFrame:
+def sign(left: pd.DataFrame, right: pd.DataFrame, shards: int, idf: Callable[[np.ndarray], np.ndarray]) -> pd.DataFrame:
+    """A block's documents with their bands, and their runs, counts and document frequencies packed."""
+    row = next(left.itertuples())
+    inverse, n, (o, cuts, _) = distinct_runs(row, shards)
+    df = np.zeros(len(n), np.int64)
+    for x in right.itertuples():
+        df[o[cuts[x.shard] : cuts[x.shard + 1]]] = unpack(x.df).astype(np.int64)
+    df, key, n = df[inverse], unpack(row.keys), unpack(row.counts).astype(np.int64)
+    size = unpack(row.sizes).astype(np.int64)
+    doc, first = np.repeat(np.arange(len(size)), size), np.concatenate([[0], np.cumsum(size)]).tolist()
+    values = sample(doc, key, n * idf(df), len(size)).view(np.uint32).astype(U64)
+    h = np.zeros((len(size), BANDS), U64)
+    for k in range(ROWS):
+        h = mix(h * U64(0xA0761D6478BD642F) + values[:, k::ROWS] + np.arange(BANDS, dtype=U64)[None, :])
+    h = h.view(np.int64)
+    ids = pa.ipc.open_stream(row.docs).read_all().column(0).to_pylist()
+    packed = [pack(np.concatenate([np.diff(key[x:y], prepend=U64(0)), n[x:y].astype(U64), df[x:y].astype(U64)])) for x, y in zip(first, first[1:])]
+    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "digest": [row.digests[16 * i : 16 * i + 16] for i in range(len(size))], "bands": [b if s else b[:0] for b, s in zip(h, size.tolist())], "runs": packed})
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, floor: float = 0.1, block_runs: int = 1_000_000, shard_runs: int = 2_000_000) -> DataFrame:
     """(doc_id, class_id) of every row: the least id among the documents it is connected with.
 
     Documents are linked by a weighted Jaccard similarity of ``least`` or more.  A
@@ -159,26 +168,39 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     null if there is none.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    known = frequencies(rows, floor)
-    sig = stored(signed(rows, known), "signatures")
+    blocks = stored(rows.mapInArrow(lambda it: make_blocks(it, block_runs), BLOCK), "runs")
+    meta = blocks.agg(F.sum("rows"), F.sum("runs")).first()
+    total, shards = int(meta[0] or 0), max(8, -(-int(meta[1] or 0) // shard_runs))
+    answers = blocks.mapInPandas(lambda it: ask(it, shards), ASK).groupBy("shard").applyInPandas(answer, ANSWER)
+
+    def idf(df: np.ndarray) -> np.ndarray:
+        return np.log1p(total / np.maximum(df, floor * total))
+
+    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return sign(left, right, shards, idf)
+
+    sig = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, SIGNED), "signatures")
     items = stored(sig.where("size(bands) > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "items")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        """The text of each item, from the row of its id and digest."""
+        """The runs of each item, from the row of its id and digest."""
         ids = ids.join(items.select("id", "digest"), "id")
         wanted = sieve(ids)
 
         def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
-                b = b.filter(pa.array(sifted(b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), wanted)))
-                yield pa.record_batch([b.column("doc_id"), pa.array(digests(texts_of(b.column("text"))), pa.binary()), b.column("text")], ["id", "digest", "text"])
+            for b in batches:
+                yield b.filter(pa.array(sifted(b.column("id").to_numpy(zero_copy_only=False), wanted)))
 
-        some = rows.where("doc_id IS NOT NULL").mapInArrow(sift, "id long, digest binary, text string")
+        some = sig.where("doc_id IS NOT NULL").selectExpr("doc_id AS id", "digest", "runs AS text").mapInArrow(sift, "id long, digest binary, text binary")
         return some.join(ids, ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "text")
 
-    def sets(t: Texts) -> Sets:
-        doc, key, n = runs(t)
-        return Sets(doc, key, n, known.of(key))
+    def sets(column: pa.Array) -> Sets:
+        each = [unpack(x).reshape(3, -1) for x in column.to_pylist()]
+        if not each:
+            return Sets(np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0))
+        key = np.concatenate([np.cumsum(x[0], dtype=U64) for x in each])
+        n, df = (np.concatenate([x[k] for x in each]).astype(np.int64) for k in (1, 2))
+        return Sets(np.repeat(np.arange(len(each)), [x.shape[1] for x in each]), key, n, idf(df))
 
     comp = group(items.select("id", "bands"), fetch, sets, least)
     classes = items.select("digest", "id").join(comp, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .exchange import U64, deal, pack, unpack
 from .storage import stored
-from .text import Texts, among, slices, texts_of
+from .text import among, slices
 
 BLOCK_KEYS = 2_000_000
 #: A larger bucket is cut into parts of so many items; a task compares two parts.
@@ -181,12 +181,12 @@ class Sets(NamedTuple):
     unit: np.ndarray
 
 
-def group(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Callable[[Texts], Sets], least: float) -> DataFrame:
+def group(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Callable[[pa.Array], Sets], least: float) -> DataFrame:
     """(id, component) of every item linked to another.
 
     ``items``: id, bands (array of long).  ``fetch`` takes ids and returns (id,
     text); it is asked once, for the items that share a band with another.  ``sets``
-    gives the sets of texts; a weighted Jaccard similarity of ``least`` is a link.
+    gives the sets of a column of texts (or whatever stands for them); a weighted Jaccard similarity of ``least`` is a link.
     """
     star = stars(items)
     member = stored(star.select("bucket", F.col("a").alias("id")).unionByName(star.select("bucket", F.col("b").alias("id"))).distinct(), "members")
@@ -199,7 +199,7 @@ def group(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Calla
             for b in slices(batches, "ta"):
                 n = b.num_rows
                 both = pa.concat_arrays([b.column("ta"), b.column("tb")])
-                alike = Compared(sets(texts_of(both)), 2 * n).similarity(np.arange(n), np.arange(n) + n)
+                alike = Compared(sets(both), 2 * n).similarity(np.arange(n), np.arange(n) + n)
                 yield b.filter(pa.array(alike >= least - 1e-9)).select(["a", "b"])
 
         return full.mapInArrow(check, "a long, b long")
@@ -296,7 +296,7 @@ class Compared:
         return out
 
 
-def across(state: DataFrame, sets: Callable[[Texts], Sets], least: float) -> DataFrame:
+def across(state: DataFrame, sets: Callable[[pa.Array], Sets], least: float) -> DataFrame:
     """(a, b): components that a link between items of one bucket connects.
 
     ``state``: bucket, n (its size), id, component, text.  All pairs of different
@@ -312,8 +312,7 @@ def across(state: DataFrame, sets: Callable[[Texts], Sets], least: float) -> Dat
         for rows in whole_groups(batches):
             bucket, p, q, own, ids, comp = (rows.column(c).to_numpy() for c in ("bucket", "p", "q", "own", "id", "component"))
             _, at, item = np.unique(ids, return_index=True, return_inverse=True)
-            t = texts_of(rows.column("text").take(pa.array(at)))
-            c = Compared(sets(t), len(at))
+            c = Compared(sets(rows.column("text").take(pa.array(at))), len(at))
             first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
             size = np.diff(np.append(first, len(ids)))
             left = np.flatnonzero(np.repeat((size <= FEW) & (p[first] == q[first]), size))

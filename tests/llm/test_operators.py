@@ -429,7 +429,8 @@ def test_large_bucket_of_items_that_are_not_alike(spark):
     texts.append(" ".join(twin))
     r.shuffle(texts)
 
-    def sets(t):
+    def sets(column):
+        t = X.texts_of(column)
         w = X.words_of(t)
         key = np.unique((w.doc.astype(np.uint64) << np.uint64(44)) | (X.word_hashes(t, w) >> np.uint64(20)))
         return neardup.Sets((key >> np.uint64(44)).astype(np.int64), key & np.uint64((1 << 44) - 1), np.ones(len(key), np.int64), np.ones(len(key)))
@@ -459,3 +460,13 @@ def test_one_copy_of_a_passage_stays(spark):
             middle = passage[200:260]
             left = [x.doc_id for x in chunk_dedup.remove_spans(df, got).collect() if middle in x.text]
             assert left == [1] and got.select("row").distinct().count() == len(ids) - 1
+
+
+def test_common_runs_weigh_less(spark):
+    """A passage of 5 % of all documents does not make short documents alike that share little else."""
+    r = random.Random(21)
+    common = words(r, 60)
+    rows = [(i, f"{common} {words(r, 5)}" if i < 10 else words(r, 50)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((x.doc_id, x.class_id) for x in icws.near_duplicates(df, floor=0.0, block_runs=3000).collect()), key=str)
+    assert got == brute_classes(rows, floor=0) and all(i == c for i, c in got) and got != brute_classes(rows)
