@@ -9,7 +9,8 @@ bounds: a passage whose terms' greatest impacts don't add up is left, then each
 block of segments whose block maxima don't, and only the rest is scored.
 
 A candidate is verified on the whole document: the shares of the item's question
-(its first part) and of its answer (the rest) whose runs of three words occur.
+(its first part) and of its answer (the rest) whose runs of three words occur; a
+question or answer of fewer words is one run, looked for among runs of its length.
 
 Scale: documents are read once and never shuffled.  An index is built from a
 bounded slice of the items (``index_chars``) and shipped to the tasks; more
@@ -41,11 +42,11 @@ def words(t: Texts):
     return w, span_hash(prefix_hash(fold(t.data)), w.start, w.end)
 
 
-def runs(h: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of three words, or of all words if there are fewer."""
+def runs(h: np.ndarray, k: int = RUN) -> np.ndarray:
+    """Hashes of all runs of ``k`` words, or of all words if there are fewer."""
     if not len(h):
         return h
-    k = min(RUN, len(h))
+    k = min(k, len(h))
     out = np.zeros(len(h) - k + 1, U64)
     for i in range(k):
         out = mix(out * U64(0xA0761D6478BD642F) + h[i : len(h) - k + 1 + i])
@@ -66,6 +67,7 @@ class Index(NamedTuple):
     item_of: np.ndarray  # of each segment
     question: list  # run hashes of each item
     answer: list
+    size: list  # words of each run of an item's question and answer: three, or all if there are fewer
 
     @classmethod
     def of(cls, ids: list, texts: list) -> Index:
@@ -93,13 +95,14 @@ class Index(NamedTuple):
         top = np.maximum.reduceat(impact, first[:-1]) if len(vocab) else impact
         seen = np.zeros(1 << 20, bool)
         seen[(vocab >> U64(44)).astype(np.int64)] = True
-        question, answer = [], []
+        question, answer, length = [], [], []
         for i in range(len(ids)):
             own = h[w.first[i] : w.first[i + 1]]
             cut = len(own) * 2 // 3
             question.append(runs(own[:cut]))
             answer.append(runs(own[cut:]))
-        return cls(list(ids), vocab, seen, top, np.searchsorted(block_term, np.arange(len(vocab) + 1)), key % (n // BLOCK_SEGMENTS + 1), block_top, first, seg, impact, item_of, question, answer)
+            length.append((min(RUN, cut), min(RUN, len(own) - cut)))
+        return cls(list(ids), vocab, seen, top, np.searchsorted(block_term, np.arange(len(vocab) + 1)), key % (n // BLOCK_SEGMENTS + 1), block_top, first, seg, impact, item_of, question, answer, length)
 
 
 def spread(first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,12 +164,15 @@ def search(t: Texts, index: Index, least: float, overlap: float):
     key, where = np.unique(doc * len(index.items) + item, return_inverse=True)
     best = np.zeros(len(key))
     np.maximum.at(best, where, score)
-    rows, have, last = [], None, -1
+    rows, have, last = [], {}, -1
     for k, s in zip(key.tolist(), best.tolist()):
         d, i = divmod(k, len(index.items))
         if d != last:
-            have, last = runs(h[w.first[d] : w.first[d + 1]]), d
-        shares = [among(x, have).mean() if len(x) else 1.0 for x in (index.question[i], index.answer[i])]
+            have, last = {}, d
+        for n in index.size[i]:
+            if n not in have:
+                have[n] = runs(h[w.first[d] : w.first[d + 1]], n)
+        shares = [among(x, have[n]).mean() if len(x) else 1.0 for x, n in zip((index.question[i], index.answer[i]), index.size[i])]
         if min(shares) >= overlap:
             rows.append((d, i, s, *shares))
     return tuple(np.array(x) for x in zip(*rows)) if rows else none

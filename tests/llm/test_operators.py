@@ -470,3 +470,15 @@ def test_common_runs_weigh_less(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(((x.doc_id, x.class_id) for x in icws.near_duplicates(df, floor=0.0, block_runs=3000).collect()), key=str)
     assert got == brute_classes(rows, floor=0) and all(i == c for i, c in got) and got != brute_classes(rows)
+
+
+def test_short_items(spark):
+    """Items of one to eight words, copied into texts of many and alone."""
+    r = random.Random(14)
+    items = [" ".join(f"w{n}x{k}" for k in range(n)) for n in range(1, 9)] + ["What is 2 + 2? 4"]
+    texts = [f"{words(r, 40)} {x} {words(r, 40)}" for x in items] + items + [words(r, 80), "What is a 2"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(i, i % 9) for i in range(18)}
+    assert {(x.doc_id, x.item_id) for x in decontam.find_contamination(d, b).collect()} == want
+    assert {x.doc_id for x in decontam.drop_contaminated(d, b).collect()} == {18, 19}
