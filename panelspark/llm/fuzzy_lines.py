@@ -1,18 +1,28 @@
 """Fuzzy line deduplication: of the lines that are alike, across all documents, one stays.
 
 A line is what stands between line breaks and has a word.  Its set is all runs of
-``SHINGLE`` bytes, A-Z lower-cased (a shorter line is one run).  Signatures are
-MinHash: short lines under 48 hash functions, long ones by one permutation in 48
-bins, where an empty bin borrows a full one's value.  Four values make a band; two
-lines of Jaccard similarity 0.8 share one of 12 bands with probability 0.998.
-Lines that meet in a band are verified on their exact sets and connected (see
-``neardup``); equal lines are one item.  The first line of each component, by
-document id and place, is kept.
+so many characters (code points), A-Z lower-cased; a shorter line is one run.  One
+length does not serve all lines: short runs make long lines of one language alike,
+and long runs break too many of a short line's.  So there are two kinds:
+
+- short, under 80 characters: runs of 4, so one changed character leaves a line of
+  39 and more alike; 20 bands of 6 MinHash values, as unrelated lines share some runs;
+- long, from 64 characters: runs of 8; 12 bands of 4 values, by one permutation in
+  48 bins (an empty bin borrows a full one's value), or a hash function each for few runs.
+
+Two lines are alike if they are of one kind and have a Jaccard similarity of 0.8 or
+more in its runs.  Lines of 64 to 79 characters are of both kinds, and a line under
+64 cannot reach 0.8 with one of 80 (60 runs and 77), so nothing is lost between
+them, unless a line repeats itself.  Lines alike share a band with probability 0.998.
+Lines that meet in a band are verified on their sets and connected (see ``neardup``);
+equal lines are one item.  The first line of each component, by document id and
+place, is kept.  Lines are known by 62-bit digests, runs by 44 bits of a hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +31,29 @@ from pyspark.sql import functions as F
 
 from .neardup import KEY_BITS, Sets, group, sieve, sifted
 from .storage import stored
-from .text import LOWER, SPACE, U64, Texts, mix, prefix_hash, slices, span_hash, texts_of
+from .text import SPACE, U64, Texts, mix, prefix_hash, slices, span_hash, texts_of
+
+
+class Kind(NamedTuple):
+    size: int  # characters of a run
+    bands: int
+    rows: int
+
+    @property
+    def values(self) -> int:
+        return self.bands * self.rows
 
-SHINGLE = 8
-BANDS, ROWS = 12, 4
-BINS = BANDS * ROWS
-#: Lines of fewer runs than this get a hash function for each value.
-SHORT = 96
-#: Fixed odd multipliers of the hash functions, from a counter.
-MULTIPLIERS = mix(np.arange(1, BINS + 1, dtype=U64)) | U64(1)
+
+SHORT, LONG = KINDS = Kind(4, 20, 6), Kind(8, 12, 4)
+#: Lines of fewer characters are short; lines of this many and more are long.
+BELOW, FROM = 80, 64
+#: Long lines of fewer runs than this get a hash function for each value.
+FEW_RUNS = 96
+#: Fixed odd multipliers of the hash functions and of the characters of a run, from a counter.
+MULTIPLIERS = mix(np.arange(1, SHORT.values + 1, dtype=U64)) | U64(1)
+PLACES = mix(np.arange(1000, 1004, dtype=U64)) | U64(1)
+#: The lowest bits of an item's id: 1 for the long kind, 2 if its line has both.
+KIND_BIT, TWIN_BIT = 1, 2
 
 
 def lines_of(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,54 +68,76 @@ def lines_of(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return start[live], end[live], doc[live], number[live]
 
 
-def shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of all runs of eight bytes of the lines, in order, with repeats.  A shorter line is one run, filled up with zeros."""
-    n = np.where(end > start, np.maximum(end - start - SHINGLE + 1, 1), 0)
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points, A-Z lower-cased, and how many stand before each byte (one more for the end)."""
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    points = points + np.where((points >= 65) & (points <= 90), np.uint32(32), np.uint32(0))
+    return points, np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+
+
+def run_hashes(points: np.ndarray, size: int) -> np.ndarray:
+    """For each place the hash of the ``size`` characters from there on (zeros after the end)."""
+    n = len(points)
+    pair = np.zeros(n + size, U64)
+    pair[:n] = points
+    pair[: n - 1] |= points[1:].astype(U64) << U64(21)
+    h = pair[:n] * PLACES[0]
+    for k in range(2, size, 2):
+        h += pair[k : k + n] * PLACES[k // 2]
+    return scattered(h)
+
+
+def scattered(h: np.ndarray) -> np.ndarray:
+    h ^= h >> U64(32)
+    h *= U64(0x94D049BB133111EB)
+    return h
+
+
+def runs(points: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of all runs of the lines, in order, with repeats; a line of fewer characters is one run, filled up with zeros."""
+    n = np.where(end > start, np.maximum(end - start - size + 1, 1), 0)
     line = np.repeat(np.arange(len(start), dtype=np.int32), n)
     at = np.arange(len(line)) - np.repeat(np.cumsum(n) - n - start, n)
-    # Eight bytes are a number already, at any byte.
-    padded = np.concatenate([data, np.zeros(SHINGLE, np.uint8)])
-    x = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))[at]
-    if (short := end - start < SHINGLE).any():
-        few = np.flatnonzero(short[line])
-        x[few] &= (U64(1) << (U64(8) * (end - start)[line[few]].astype(U64))) - U64(1)
-    x *= U64(0xBF58476D1CE4E5B9)
-    x ^= x >> U64(32)
-    x *= U64(0x94D049BB133111EB)
+    x = hashes[at]
+    for k in np.flatnonzero((n == 1) & (end - start < size)).tolist():  # rare: the hash of the line alone
+        x[np.searchsorted(line, k)] = run_hashes(np.concatenate([points[start[k] : end[k]], np.zeros(size, np.uint32)]), size)[0]
     return line, x
 
 
-def signatures(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """BINS values (32 bits) for each line."""
-    out = np.full((len(start), BINS), np.iinfo(np.uint32).max, np.uint32)
-    short = (end - start) < SHORT + SHINGLE
+def signatures(points: np.ndarray, start: np.ndarray, end: np.ndarray, kind: Kind) -> np.ndarray:
+    """The MinHash values (32 bits) of each line."""
+    out = np.full((len(start), kind.values), np.iinfo(np.uint32).max, np.uint32)
+    if not len(start):
+        return out
+    hashes = run_hashes(points, kind.size)
+    few = (end - start) < FEW_RUNS + kind.size if kind is LONG else np.ones(len(start), bool)
     for many in (False, True):
-        rows = np.flatnonzero(~short if many else short)
+        rows = np.flatnonzero(few != many)
         for a in range(0, len(rows), 1024):
             some = rows[a : a + 1024]
-            line, x = shingles(data, start[some], end[some])
+            line, x = runs(points, hashes, start[some], end[some], kind.size)
             if many:
-                part = np.full(len(some) * BINS, np.iinfo(np.uint32).max, np.uint32)
+                part = np.full(len(some) * kind.values, np.iinfo(np.uint32).max, np.uint32)
                 value = (x >> U64(32)).astype(np.uint32)
-                place = (((x & U64(0xFFFFFFFF)) * U64(BINS)) >> U64(32)).astype(np.int64)
-                place += line.astype(np.int64) * BINS
+                place = (((x & U64(0xFFFFFFFF)) * U64(kind.values)) >> U64(32)).astype(np.int64)
+                place += line.astype(np.int64) * kind.values
                 np.minimum.at(part, place, value)
-                out[some] = borrowed(part.reshape(-1, BINS))
+                out[some] = borrowed(part.reshape(-1, kind.values))
             else:
                 first = np.searchsorted(line, np.arange(len(some)))
-                for k in range(BINS):
+                for k in range(kind.values):
                     out[some, k] = np.minimum.reduceat(((x * MULTIPLIERS[k]) >> U64(32)).astype(np.uint32), first)
     return out
 
 
 def borrowed(part: np.ndarray) -> np.ndarray:
     """Empty bins take the value of a full bin, found by trying bins in an order of their own."""
-    empty = np.iinfo(np.uint32).max
+    empty, bins = np.iinfo(np.uint32).max, part.shape[1]
     out, (row, column) = part.copy(), np.nonzero(part == empty)
-    for attempt in range(1, 10 * BINS):
+    for attempt in range(1, 10 * bins):
         if not len(row):
             break
-        source = (mix(column.astype(U64) * U64(1009) + U64(attempt)) % U64(BINS)).astype(np.int64)
+        source = (mix(column.astype(U64) * U64(1009) + U64(attempt)) % U64(bins)).astype(np.int64)
         value = part[row, source]
         hit = value != empty
         out[row[hit], column[hit]] = value[hit]
@@ -99,37 +145,73 @@ def borrowed(part: np.ndarray) -> np.ndarray:
     return out
 
 
+def bands(points: np.ndarray, start: np.ndarray, end: np.ndarray, kind: Kind) -> np.ndarray:
+    values = signatures(points, start, end, kind).astype(U64)
+    h = np.full((len(start), kind.bands), U64(kind.size))
+    for k in range(kind.rows):
+        h = mix(h * U64(0xA0761D6478BD642F) + values[:, k :: kind.rows] + np.arange(kind.bands, dtype=U64)[None, :])
+    return h
+
+
+def identified(t: Texts, start: np.ndarray, end: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The id of each line (of its short kind, if it has both) and whether it is short, and long."""
+    size = points[end] - points[start]
+    short, long = size < BELOW, size >= FROM
+    digest = span_hash(prefix_hash(t.data), start, end) & ~U64(KIND_BIT | TWIN_BIT)
+    digest |= np.where(short & long, U64(TWIN_BIT), np.where(long, U64(KIND_BIT), U64(0)))
+    return digest.view(np.int64), short, long
+
+
 LINES = "id long, doc_id long, line int, bands array<long>"
 
 
 def signed(rows: DataFrame) -> DataFrame:
-    """Every line, with the digest of its text as id; bands at its first place in a slice only."""
+    """Every line and its id; bands at its first place in a slice only.  A line of both kinds has another row, of line -1, for the long kind's bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             t = texts_of(b.column("text"))
             start, end, doc, number = lines_of(t)
-            digest = span_hash(prefix_hash(t.data), start, end)
-            _, first = np.unique(digest, return_index=True)
-            first.sort()
-            values = signatures(LOWER[t.data], start[first], end[first])
-            h = np.zeros((len(first), BANDS), U64)
-            for k in range(ROWS):
-                h = mix(h * U64(0xA0761D6478BD642F) + values[:, k::ROWS].astype(U64) + np.arange(BANDS, dtype=U64)[None, :])
-            n = np.zeros(len(start), np.int64)
-            n[first] = 1
+            text, before = characters(t.data)
+            ids, short, long = identified(t, start, end, before)
+            first = np.zeros(len(ids), bool)
+            first[np.unique(ids, return_index=True)[1]] = True
+            x, y = before[start], before[end]
+            low, high = np.flatnonzero(first & short), np.flatnonzero(first & long)
+            single, twin = high[~short[high]], high[short[high]]
+            lower, upper = bands(text, x[low], y[low], SHORT), bands(text, x[high], y[high], LONG)
+            n = np.zeros(len(ids) + len(twin), np.int64)
+            n[low], n[single], n[len(ids) :] = SHORT.bands, LONG.bands, LONG.bands
             cuts = np.concatenate([[0], np.cumsum(n)])
-            bands = pa.ListArray.from_arrays(pa.array((cuts * BANDS).astype(np.int32)), pa.array(h.reshape(-1).view(np.int64)))
-            yield pa.record_batch([pa.array(digest.view(np.int64)), b.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), bands], ["id", "doc_id", "line", "bands"])
+            flat = np.empty(int(cuts[-1]), U64)
+            place = np.empty(len(high), np.int64)
+            place[~short[high]], place[short[high]] = cuts[single], cuts[len(ids) : -1]
+            flat[cuts[low][:, None] + np.arange(SHORT.bands)] = lower
+            flat[place[:, None] + np.arange(LONG.bands)] = upper
+            docs = pa.concat_arrays([b.column("doc_id").take(pa.array(doc)), pa.nulls(len(twin), pa.int64())])
+            line = np.concatenate([number, np.full(len(twin), -1)]).astype(np.int32)
+            all_bands = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.view(np.int64)))
+            yield pa.record_batch([pa.array(np.concatenate([ids, ids[twin] | KIND_BIT])), docs, pa.array(line), all_bands], ["id", "doc_id", "line", "bands"])
 
     return rows.mapInArrow(sign, LINES)
 
 
+#: What stands before the text of an item to tell its kind.
+MARKS = (b"s", b"l")
+
+
 def sets(column: pa.Array) -> Sets:
-    """The sets of runs of lines."""
+    """The sets of runs of marked lines."""
     t = texts_of(column)
-    line, x = shingles(LOWER[t.data], t.offsets[:-1], t.offsets[1:])
-    key = np.sort((line.astype(U64) << U64(KEY_BITS)) | (x >> U64(64 - KEY_BITS)))
+    text, before = characters(t.data)
+    start, end = before[t.offsets[:-1]] + 1, before[t.offsets[1:]]
+    is_long = t.data[t.offsets[:-1]] == MARKS[1][0] if len(t) else np.zeros(0, bool)
+    keys = [np.zeros(0, U64)]
+    for kind, rows in ((SHORT, np.flatnonzero(~is_long)), (LONG, np.flatnonzero(is_long))):
+        if len(rows):
+            line, x = runs(text, run_hashes(text, kind.size), start[rows], end[rows], kind.size)
+            keys.append((rows[line].astype(U64) << U64(KEY_BITS)) | (x >> U64(64 - KEY_BITS)))
+    key = np.sort(np.concatenate(keys))
     key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
     return Sets((key >> U64(KEY_BITS)).astype(np.int64), key & U64((1 << KEY_BITS) - 1), np.ones(len(key), np.int64), np.ones(len(key)))
 
@@ -147,23 +229,31 @@ def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     items = lines.where("size(bands) > 0").select("id", "bands")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        """The lines of some digests, from the documents again; a filter of fixed size leaves most others behind."""
-        wanted = sieve(ids)
+        """The lines of some ids, from the documents again; a filter of fixed size leaves most others behind."""
+        wanted = sieve(ids.select(F.expr("shiftright(id, 2)").alias("id")))
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
                 t = texts_of(b.column("text"))
                 start, end, _, _ = lines_of(t)
-                digest = span_hash(prefix_hash(t.data), start, end).view(np.int64)
-                some = np.flatnonzero(sifted(digest, wanted))
+                size = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])
+                digest, _, _ = identified(t, start, end, size)
+                some = np.flatnonzero(sifted(digest >> 2, wanted))
                 some = some[np.unique(digest[some], return_index=True)[1]]
                 raw = t.data.tobytes()
-                yield pa.record_batch([pa.array(digest[some]), pa.array([raw[x:y] for x, y in zip(start[some].tolist(), end[some].tolist())], pa.binary()).cast(pa.string())], ["id", "text"])
+                for kind in (0, 1):
+                    of = some[(digest[some] & KIND_BIT == kind) | (digest[some] & TWIN_BIT != 0)]
+                    text = [MARKS[kind] + raw[x:y] for x, y in zip(start[of].tolist(), end[of].tolist())]
+                    yield pa.record_batch([pa.array(digest[of] | kind), pa.array(text, pa.binary()).cast(pa.string())], ["id", "text"])
 
         return rows.mapInArrow(find, "id long, text string").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
-    comp = group(items, fetch, sets, least)
-    classed = lines.select("id", "doc_id", "line").join(comp, "id", "left").select("doc_id", "line", F.coalesce("component", "id").alias("class"))
+    def twins(ids: DataFrame) -> DataFrame:
+        """A line of both kinds is one line."""
+        return ids.where(F.col("id").bitwiseAND(TWIN_BIT) != 0).select(F.col("id").alias("a"), F.col("id").bitwiseXOR(KIND_BIT).alias("b"))
+
+    comp = group(items, fetch, sets, least, twins)
+    classed = lines.where("line >= 0").select("id", "doc_id", "line").join(comp, "id", "left").select("doc_id", "line", F.coalesce("component", "id").alias("class"))
     classed = stored(classed, "classes")
     first = classed.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
     return classed.join(first, "class").select("doc_id", "line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"), (F.struct("doc_id", "line") == F.col("first")).alias("kept"))

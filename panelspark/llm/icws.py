@@ -4,8 +4,9 @@ A document is the set of its runs of five words (A-Z lower-cased), weighted by
 TF-IDF: how often the run occurs times ln(1 + N / df), where a document frequency
 below a share ``floor`` of all documents counts as that share (0: df as it is).
 The document frequency of every run is counted: blocks of documents send each
-distinct run once to the shard of its hash and get its frequency back, and the
-set of a document is kept with these for verification.
+distinct run once to the shard of its hash and get its frequency back.  Documents
+keep the frequencies only; the runs of those that share a band are read from their
+texts again for verification.
 
 A sample of weight w draws r, c ~ Gamma(2, 1) and b ~ U(0, 1) by the run and takes
 t = floor(ln w / r + b); the run of least ln c - r (t - b + 1) is the sample, and
@@ -16,19 +17,18 @@ Exact copies are one item; see ``neardup`` for the rest.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import deal, pack, pack_sorted, summed, unpack, unpack_sorted
 from .neardup import KEY_BITS, Sets, group, sieve, sifted
-from .storage import stored
+from .storage import drop, stored
 from .text import U64, Texts, mix, process_cache, shingle_hashes, slices, texts_of, word_hashes, words_of
 
 BANDS, ROWS = 16, 4
@@ -71,16 +71,28 @@ def make_blocks(batches: Iterator[pa.RecordBatch], block_runs: int) -> Iterator[
     for b in slices(batches):
         t = texts_of(b.column("text"))
         doc, key, n = runs(t)
-        held.append((b.column("doc_id"), digests(t), np.bincount(doc, minlength=len(t)), key, n))
+        held.append((b.column("doc_id"), b.column("digest").to_pylist(), np.bincount(doc, minlength=len(t)), steps(doc, key), n))
         if sum(len(h[3]) for h in held) >= block_runs:
             yield block()
     if held:
         yield block()
 
 
+def steps(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Ascending keys of each document as the first and the differences."""
+    return np.where(np.concatenate([[True], doc[1:] != doc[:-1]])[: len(key)], key, np.diff(key, prepend=U64(0)))
+
+
+def keys_of(row) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """The keys of a block and how many each document has."""
+    size, total = unpack(row.sizes).astype(np.int64), np.cumsum(unpack(row.keys), dtype=U64)
+    before = np.concatenate([np.zeros(1, U64), total])[np.cumsum(size) - size]
+    return total - np.repeat(before, size), size
+
+
 def distinct_runs(row, shards: int) -> tuple:  # noqa: ANN001
     """Of a block: the distinct run of each run, how many documents have it, and the distinct runs as ``deal`` orders them."""
-    keys, inverse, n = np.unique(unpack(row.keys), return_inverse=True, return_counts=True)
+    keys, inverse, n = np.unique(keys_of(row)[0], return_inverse=True, return_counts=True)
     return inverse, n, deal(keys << U64(64 - KEY_BITS), shards, KEY_BITS)
 
 
@@ -131,22 +143,18 @@ def sample(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, docs: int) -> n
     return out
 
 
-SIGNED = "doc_id long, digest binary, bands array<long>, runs binary"
-
-
-def digests(t: Texts) -> list[bytes]:
-    return [hashlib.blake2b(t.raw(i), digest_size=16).digest() for i in range(len(t))]
+SIGNED = "doc_id long, digest binary, bands array<long>, df binary"
 
 
 def sign(left: pd.DataFrame, right: pd.DataFrame, shards: int, idf: Callable[[np.ndarray], np.ndarray]) -> pd.DataFrame:
-    """A block's documents with their bands, and their runs, counts and document frequencies packed."""
+    """A block's documents with their bands and the document frequencies of their runs, packed."""
     row = next(left.itertuples())
     inverse, n, (o, cuts, _) = distinct_runs(row, shards)
     df = np.zeros(len(n), np.int64)
     for x in right.itertuples():
         df[o[cuts[x.shard] : cuts[x.shard + 1]]] = unpack(x.df).astype(np.int64)
-    df, key, n = df[inverse], unpack(row.keys), unpack(row.counts).astype(np.int64)
-    size = unpack(row.sizes).astype(np.int64)
+    df, n = df[inverse], unpack(row.counts).astype(np.int64)
+    key, size = keys_of(row)
     doc, first = np.repeat(np.arange(len(size)), size), np.concatenate([[0], np.cumsum(size)]).tolist()
     values = sample(doc, key, n * idf(df), len(size)).view(np.uint32).astype(U64)
     h = np.zeros((len(size), BANDS), U64)
@@ -154,20 +162,20 @@ def sign(left: pd.DataFrame, right: pd.DataFrame, shards: int, idf: Callable[[np
         h = mix(h * U64(0xA0761D6478BD642F) + values[:, k::ROWS] + np.arange(BANDS, dtype=U64)[None, :])
     h = h.view(np.int64)
     ids = pa.ipc.open_stream(row.docs).read_all().column(0).to_pylist()
-    packed = [pack(np.concatenate([np.diff(key[x:y], prepend=U64(0)), n[x:y].astype(U64), df[x:y].astype(U64)])) for x, y in zip(first, first[1:])]
-    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "digest": [row.digests[16 * i : 16 * i + 16] for i in range(len(size))], "bands": [b if s else b[:0] for b, s in zip(h, size.tolist())], "runs": packed})
+    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "digest": [row.digests[16 * i : 16 * i + 16] for i in range(len(size))], "bands": [b if s else b[:0] for b, s in zip(h, size.tolist())], "df": [pack(df[x:y]) for x, y in zip(first, first[1:])]})
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, floor: float = 0.1, block_runs: int = 1_000_000, shard_runs: int = 2_000_000) -> DataFrame:
-    """(doc_id, class_id) of every row: the least id among the documents it is connected with.
+def with_digest(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """Ids, texts and the MD5 of each text; null counts as empty."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), *more)
 
-    Documents are linked by a weighted Jaccard similarity of ``least`` or more.  A
-    text of fewer than five words is one run of them all; texts without a word
-    (null, empty) are classes of their own.  Rows of one text share a class, also
-    under one id; a row without an id takes the class of its text's least id, and
-    null if there is none.
+
+def classes(rows: DataFrame, least: float, floor: float, block_runs: int, shard_runs: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest) of every row, and (digest, class_id, stays) of every text with words and an id.
+
+    ``class_id`` is the least id of a text's class; ``stays`` marks one text of each class, of that id.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     blocks = stored(rows.mapInArrow(lambda it: make_blocks(it, block_runs), BLOCK), "runs")
     meta = blocks.agg(F.sum("rows"), F.sum("runs")).first()
     total, shards = int(meta[0] or 0), max(8, -(-int(meta[1] or 0) // shard_runs))
@@ -180,36 +188,67 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return sign(left, right, shards, idf)
 
     sig = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, SIGNED), "signatures")
-    items = stored(sig.where("size(bands) > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "items")
+    drop(blocks)
+    items = sig.where("size(bands) > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"), F.first("df").alias("df"))
+    items = stored(items.withColumn("id", F.monotonically_increasing_id()), "items")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        """The runs of each item, from the row of its id and digest."""
-        ids = ids.join(items.select("id", "digest"), "id")
-        wanted = sieve(ids)
+        """The runs of each item, from the text of its row, and their frequencies."""
+        ids = ids.join(items.select("id", "doc", "digest", "df"), "id")
+        wanted = sieve(ids.select(F.col("doc").alias("id")))
 
         def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(sifted(b.column("id").to_numpy(zero_copy_only=False), wanted)))
+            for b in slices(batches):
+                b = b.filter(pa.array(sifted(b.column("doc_id").to_numpy(zero_copy_only=False), wanted)))
+                doc, key, n = runs(texts_of(b.column("text")))
+                first, d = np.searchsorted(doc, np.arange(b.num_rows + 1)).tolist(), steps(doc, key)
+                packed = [pack(np.concatenate([d[x:y], n[x:y].astype(U64)])) for x, y in zip(first, first[1:])]
+                yield pa.record_batch([b.column("doc_id"), b.column("digest"), pa.array([len(x).to_bytes(4, "little") + x for x in packed], pa.binary())], ["doc", "digest", "runs"])
 
-        some = sig.where("doc_id IS NOT NULL").selectExpr("doc_id AS id", "digest", "runs AS text").mapInArrow(sift, "id long, digest binary, text binary")
-        return some.join(ids, ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "text")
+        some = rows.where("doc_id IS NOT NULL").mapInArrow(sift, "doc long, digest binary, runs binary")
+        return some.join(ids, ["doc", "digest"]).dropDuplicates(["id"]).select("id", F.concat("runs", "df").alias("text"))
 
     def sets(column: pa.Array) -> Sets:
-        each = [unpack(x).reshape(3, -1) for x in column.to_pylist()]
-        if not each:
+        if not len(column):
             return Sets(np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0))
-        key = np.concatenate([np.cumsum(x[0], dtype=U64) for x in each])
-        n, df = (np.concatenate([x[k] for x in each]).astype(np.int64) for k in (1, 2))
-        return Sets(np.repeat(np.arange(len(each)), [x.shape[1] for x in each]), key, n, idf(df))
+        key, n, df = [], [], []
+        for x in column.to_pylist():
+            to = 4 + int.from_bytes(x[:4], "little")
+            steps, count = unpack(x[4:to]).reshape(2, -1)
+            key.append(np.cumsum(steps, dtype=U64))
+            n.append(count)
+            df.append(unpack(x[to:]))
+        return Sets(np.repeat(np.arange(len(key)), [len(x) for x in key]), np.concatenate(key), np.concatenate(n).astype(np.int64), idf(np.concatenate(df).astype(np.int64)))
 
     comp = group(items.select("id", "bands"), fetch, sets, least)
-    classes = items.select("digest", "id").join(comp, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
-    return sig.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    linked = items.select("id", "doc", "digest").join(comp, "id")
+    first = linked.groupBy("component").agg(F.min(F.struct("doc", "digest")).alias("first"))
+    linked = linked.join(first, "component").select("id", F.col("first.doc").alias("class"), (F.col("digest") == F.col("first.digest")).alias("first"))
+    return sig.select("doc_id", "digest"), items.select("id", "doc", "digest").join(linked, "id", "left").select("digest", F.coalesce("class", "doc").alias("class_id"), F.coalesce("first", F.lit(True)).alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, floor: float = 0.0, block_runs: int = 1_000_000, shard_runs: int = 2_000_000) -> DataFrame:
+    """(doc_id, class_id) of every row: the least id among the documents it is connected with.
+
+    Documents are linked by a weighted Jaccard similarity of ``least`` or more.  A
+    text of fewer than five words is one run of them all; texts without a word
+    (null, empty) are classes of their own.  Rows of one text share a class, also
+    under one id; a row without an id takes the class of its text's least id, and
+    null if there is none.  Different texts of one id are documents of their own.
+    """
+    rows, of = classes(with_digest(docs, id_col, text_col), least, floor, block_runs, shard_runs)
+    return rows.join(of, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
 
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, floor: float = 0.0, block_runs: int = 1_000_000, shard_runs: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, of one document of each class, once.
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, of one document of each class, once.  Rows without an id are kept."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col("_kept_id"), "left_semi")
-    # Repeated rows of one id: one stays.
-    return named.dropDuplicates([id_col]).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    Rows without an id and texts without a word are kept; of repeated rows of one
+    id and text one stays.
+    """
+    _, of = classes(with_digest(docs, id_col, text_col), least, floor, block_runs, shard_runs)
+    chosen = of.where("stays").select(F.col("class_id").alias("doc_id"), "digest", F.lit(True).alias("chosen"))
+    # Joined by id and digest, so a text that a third of all rows hold is no hot key.
+    rows = with_digest(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("blank", ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("text")
+    named = rows.where("doc_id IS NOT NULL").join(chosen, ["doc_id", "digest"], "left").where("chosen OR blank").dropDuplicates(["doc_id", "digest"])
+    return named.select("row").unionByName(rows.where("doc_id IS NULL").select("row")).select("row.*")

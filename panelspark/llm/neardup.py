@@ -3,12 +3,11 @@
 Items that share a band meet as stars: each points to the least item of its
 bucket, first within a block of items, then across blocks, so a bucket of any
 size costs one row an item and no task sees more than a row a block for it.
-Links are verified in three rounds, and whatever is connected already is not
+Links are verified in two rounds, and whatever is connected already is not
 compared again:
 
 1. each item with one hub: of its buckets' hubs the one that meets most items;
-2. the other hubs of its buckets, where the two are not yet connected;
-3. within buckets that still hold several components every pair of items of
+2. within buckets that still hold several components every pair of items of
    different components, on the exact sets, where the items lie: only the links
    leave.  Nothing is left out, so a bucket of n items that are not alike costs
    up to n * n / 2 comparisons.
@@ -46,13 +45,16 @@ def stars(items: DataFrame, shard_keys: int = 1_000_000) -> DataFrame:
     """(bucket, a, b): items ``a`` that share a band with the lesser item ``b``, as stars of stars."""
     keys = items.agg(F.sum(F.size("bands"))).first()[0] or 0
     shards = max(8, -(-int(keys) // shard_keys))
+    # Of a key as much is sent as tells it from all others but one in 2**16; who meets by chance is verified like the rest.
+    bits = min(64, max(32, int(keys).bit_length() + 16))
+    cut = U64(64 - bits)
     schema = "shard int, kind int, keys binary, a binary, b binary"
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            key, item = np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held])
+            key, item = np.concatenate([k for k, _ in held]) >> cut, np.concatenate([i for _, i in held])
             held.clear()
             order = np.argsort(key)
             key, item = key[order], item[order]
@@ -63,7 +65,7 @@ def stars(items: DataFrame, shard_keys: int = 1_000_000) -> DataFrame:
             rows = []
             if len(spoke):
                 rows.append((int(key[spoke[0]] % U64(shards)), 1, pack(key[spoke]), pack(item[spoke].view(U64)), pack(hub[spoke].view(U64))))
-            o, cuts, inner = deal(key[first], shards)
+            o, cuts, inner = deal(key[first] << cut, shards, bits)
             own = least[o]
             for s in range(shards):
                 x, y = cuts[s], cuts[s + 1]
@@ -181,12 +183,13 @@ class Sets(NamedTuple):
     unit: np.ndarray
 
 
-def group(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Callable[[pa.Array], Sets], least: float) -> DataFrame:
+def group(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Callable[[pa.Array], Sets], least: float, twins: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) of every item linked to another.
 
     ``items``: id, bands (array of long).  ``fetch`` takes ids and returns (id,
     text); it is asked once, for the items that share a band with another.  ``sets``
     gives the sets of a column of texts (or whatever stands for them); a weighted Jaccard similarity of ``least`` is a link.
+    ``twins`` takes ids and returns (a, b) of those that are one thing under two ids.
     """
     star = stars(items)
     member = stored(star.select("bucket", F.col("a").alias("id")).unionByName(star.select("bucket", F.col("b").alias("id"))).distinct(), "members")
@@ -210,20 +213,10 @@ def group(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Calla
     ranked = stored(member.join(met, "id"), "ranked")
     hub = ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("id"))).alias("hub"))
     pairs = ranked.join(hub, "bucket").select(F.col("id").alias("x"), (-F.col("hub.id")).alias("y"), F.col("hub.met").alias("met")).where("x <> y")
-    pairs = stored(pairs, "stars")
-    ordered = (F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    tested = stored(pairs.groupBy("x").agg(F.max_by("y", F.struct("met", "y")).alias("y")).select(*ordered).distinct(), "tested")
-    links = stored(verify(tested), "links")
-    comp = stored(components(links), "components")
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs not tested and not connected."""
-        x, y = comp.selectExpr("id AS a", "component AS ca"), comp.selectExpr("id AS b", "component AS cb")
-        rest = pairs.join(x, "a", "left").join(y, "b", "left")
-        return rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(tested, ["a", "b"], "left_anti").distinct()
-
-    second = stored(apart(pairs.select(*ordered).distinct()), "tested")
-    links = links.unionByName(stored(verify(second), "links"))
+    first = pairs.groupBy("x").agg(F.max_by("y", F.struct("met", "y")).alias("y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    links = verify(first)
+    if twins is not None:
+        links = links.unionByName(twins(member.select("id").distinct()))
     comp = stored(components(links), "components")
 
     # Buckets that hold several components; of those with the same items one.
