@@ -36,7 +36,7 @@ GROUP_ROWS = 1000
 #: Cells of fewer items are compared pair by pair, others by products of matrices.
 FEW = 32
 #: Bytes of text that a task compares at once, unless a cell has more.
-CELL_BYTES = 8 << 20
+CELL_BYTES = 2 << 20
 KEY_BITS = 44
 STARS = "bucket long, a long, b long"
 
