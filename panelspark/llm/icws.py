@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .exchange import deal, pack, pack_sorted, summed, unpack, unpack_sorted
 from .neardup import KEY_BITS, Sets, group, sieve, sifted
 from .storage import drop, stored
-from .text import U64, Texts, mix, process_cache, shingle_hashes, slices, texts_of, word_hashes, words_of
+from .text import U64, Texts, give_back, mix, process_cache, shingle_hashes, slices, texts_of, word_hashes, words_of
 
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
@@ -102,9 +102,12 @@ def ask(frames: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
             _, n, (o, cuts, inner) = distinct_runs(row, shards)
             full = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
             yield pd.DataFrame({"shard": full, "block": row.block, "keys": [pack_sorted(inner[cuts[s] : cuts[s + 1]]) for s in full], "df": [pack(n[o][cuts[s] : cuts[s + 1]]) for s in full]})
+        del frame
+    give_back()
 
 
 def answer(frame: pd.DataFrame) -> pd.DataFrame:
+    give_back()
     keys = [unpack_sorted(x) for x in frame["keys"]]
     total = summed(np.concatenate(keys), np.concatenate([unpack(x) for x in frame["df"]]).astype(np.int64))
     return pd.DataFrame({"block": frame["block"], "shard": frame["shard"], "df": [pack(x) for x in np.split(total, np.cumsum([len(k) for k in keys])[:-1])]})
@@ -148,6 +151,7 @@ SIGNED = "doc_id long, digest binary, bands array<long>, df binary"
 
 def sign(left: pd.DataFrame, right: pd.DataFrame, shards: int, idf: Callable[[np.ndarray], np.ndarray]) -> pd.DataFrame:
     """A block's documents with their bands and the document frequencies of their runs, packed."""
+    give_back()
     row = next(left.itertuples())
     inverse, n, (o, cuts, _) = distinct_runs(row, shards)
     df = np.zeros(len(n), np.int64)
@@ -227,7 +231,7 @@ def classes(rows: DataFrame, least: float, floor: float, block_runs: int, shard_
     return sig.select("doc_id", "digest"), items.select("id", "doc", "digest").join(linked, "id", "left").select("digest", F.coalesce("class", "doc").alias("class_id"), F.coalesce("first", F.lit(True)).alias("stays"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, floor: float = 0.0, block_runs: int = 1_000_000, shard_runs: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, floor: float = 0.0, block_runs: int = 500_000, shard_runs: int = 2_000_000) -> DataFrame:
     """(doc_id, class_id) of every row: the least id among the documents it is connected with.
 
     Documents are linked by a weighted Jaccard similarity of ``least`` or more.  A
@@ -240,7 +244,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(of, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, floor: float = 0.0, block_runs: int = 1_000_000, shard_runs: int = 2_000_000) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, floor: float = 0.0, block_runs: int = 500_000, shard_runs: int = 2_000_000) -> DataFrame:
     """The rows of ``docs``, all columns, of one document of each class, once.
 
     Rows without an id and texts without a word are kept; of repeated rows of one

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .exchange import U64, deal, pack, unpack
 from .storage import stored
-from .text import among, slices
+from .text import among, give_back, slices
 
 BLOCK_KEYS = 2_000_000
 #: A larger bucket is cut into parts of so many items; a task compares two parts.
@@ -83,8 +83,10 @@ def stars(items: DataFrame, shard_keys: int = 1_000_000) -> DataFrame:
                 yield flush()
         if held:
             yield flush()
+        give_back()
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         out = []
         near = frame[frame["kind"] == 1]
         for x in near.itertuples():
@@ -329,6 +331,8 @@ def across(state: DataFrame, sets: Callable[[pa.Array], Sets], least: float) ->
             if len(a):
                 a, b, _ = forest((np.maximum(a, b), np.minimum(a, b)))
             yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+            del c, rows
+            give_back()
 
     return dealt.mapInArrow(compare, "a long, b long")
 
