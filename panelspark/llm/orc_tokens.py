@@ -8,14 +8,16 @@ its place in the whole stream without passing the ids through one task.
 
 Encoding.  A text is cut before each white space that follows something else, and
 between an ASCII letter or digit and one of ``.,;:!?``.
-The tokenizer's own pattern always cuts there, whatever stands on either side,
-so the ids of a text are those of its pieces, and each distinct piece of a task
-is encoded once.  Texts with white space beyond ASCII are encoded whole.  Pieces
-are told apart by a 64-bit hash.
+A byte-level tokenizer's own pattern always cuts there, whatever stands on either
+side, so the ids of a text are those of its pieces, and each distinct piece that a
+worker meets is encoded once.  Texts with white space beyond ASCII are encoded whole,
+and so are all texts if the tokenizer's file names another way of splitting.  Pieces
+are told apart by a 64-bit hash of their bytes and length.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +34,9 @@ END_ID = 2
 ALNUM, MARK = np.zeros(256, bool), np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 MARK[list(b".,;:!?")] = True
-#: Distinct pieces that a task remembers before it starts anew: about 100 MB.
+#: Distinct pieces that a worker remembers before it starts anew, in a table twice as large: about 60 MB.
 REMEMBERED = 1_000_000
+SLOT_BITS = 21
 
 
 class Encoder:
@@ -45,13 +48,39 @@ class Encoder:
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token: a character stands for a byte
         for word, i in vocab.items():
             self.size[i] = len(word)
+        spec = json.loads(self.tok.to_str())
+        split = spec.get("pre_tokenizer") or {}
+        self.cuts = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.index = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # An open hash table: the key in each slot (0: none) and which piece it is.
+        self.slots, self.index = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each piece, -1 for those not met before."""
+        out, todo, slot = np.full(len(keys), -1, np.int32), np.arange(len(keys)), (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        while len(todo):
+            there = self.slots[slot]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.index[slot[hit]]
+            on = np.flatnonzero(~hit & (there != 0))
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1)
+        return out
+
+    def enter(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct keys not met before take the first free slots from their own on."""
+        slot = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        while len(keys):
+            free = np.flatnonzero(self.slots[slot] == 0)
+            at, first = np.unique(slot[free], return_index=True)
+            self.slots[at], self.index[at] = keys[free[first]], numbers[free[first]]
+            rest = np.ones(len(keys), bool)
+            rest[free[first]] = False
+            keys, numbers, slot = keys[rest], numbers[rest], (slot[rest] + 1) & ((1 << SLOT_BITS) - 1)
+
     def whole(self, data: bytes) -> list[int]:
         return self.tok.encode(data.decode(), add_special_tokens=False).ids
 
@@ -75,16 +104,12 @@ class Encoder:
         new = len(self.first) - 1 + np.arange(len(keys))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(counts))])
         self.ids = np.concatenate([self.ids, *parts, *single])
-        k, v = np.concatenate([self.keys, keys[todo], keys[rest]]), np.concatenate([self.index, new])
-        o = np.argsort(k)
-        self.keys, self.index = k[o], v[o]
+        self.enter(np.concatenate([keys[todo], keys[rest]]), new.astype(np.int32))
 
     def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each document's followed by the end id, and where each document's begin."""
         docs, n = len(t), len(t.data)
-        if len(self.keys) > REMEMBERED:
-            self.forget()
-        odd = np.zeros(docs, bool)
+        odd = np.full(docs, not self.cuts)
         odd[np.searchsorted(t.offsets, odd_spaces(t.data), "right") - 1] = True
         for s in self.special:
             if s in t.data.tobytes():
@@ -99,18 +124,26 @@ class Encoder:
         start = np.flatnonzero(begin)
         end = np.append(start[1:], n)[: len(start)]
         doc = np.searchsorted(t.offsets, start, "right") - 1
-        key = span_hash(prefix_hash(t.data), start, end)
-        u, where, inverse = np.unique(key, return_index=True, return_inverse=True)
-        known = np.zeros(len(u), bool)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, u), len(self.keys) - 1)
-            known = self.keys[at] == u
-        if not known.all():
-            w = where[~known]
+        key = np.maximum(span_hash(prefix_hash(t.data), start, end), np.uint64(1))
+        piece = self.find(key)
+        new = np.flatnonzero(piece < 0)
+        if len(new):
+            u, where = np.unique(key[new], return_index=True)
+            if len(u) > REMEMBERED:  # of a single very long text
+                was, self.cuts = self.cuts, False
+                try:
+                    return self.encode(t)
+                finally:
+                    self.cuts = was
+            if len(self.first) + len(u) > REMEMBERED:
+                self.forget()
+                new = np.arange(len(key))
+                u, where = np.unique(key, return_index=True)
+            w = new[where]
             plain = space[start[w]] & ~space[end[w] - 1] & ~odd[doc[w]]
             raw = t.data.tobytes()
-            self.learn(u[~known], [raw[a:b] for a, b in zip(start[w].tolist(), end[w].tolist())], plain)
-        piece = self.index[np.searchsorted(self.keys, u)][inverse] if len(key) else np.zeros(0, np.int64)
+            self.learn(u, [raw[a:b] for a, b in zip(start[w].tolist(), end[w].tolist())], plain)
+            piece[new] = self.find(key[new])
         size = self.first[piece + 1] - self.first[piece]
         per = np.bincount(doc, size, minlength=docs).astype(np.int64) + 1
         first = np.concatenate([[0], np.cumsum(per)])
@@ -155,7 +188,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, before, part = encoder(tokenizer), 0, TaskContext.get().partitionId()
-        e.forget()
         for b in slices(batches):
             ids, first = e.encode(texts_of(b.column("text")))
             n = b.num_rows

@@ -364,10 +364,15 @@ def test_encoder():
     r = random.Random(1)
     parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "a", "B", "it's", "'s", "1", "23", "!", "...", "\u00a0", "\u2003", "\u3000", "é", "ß", "日本", "😀", "<|endoftext|>", "_", "\x1c", "\x85", "\u200b", "\x00", "end. ", "x,y;", "\x0b"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(2000)] + [None, "", " "]
-    for a in range(0, len(texts), 40):
-        ids, first = e.encode(X.texts_of(pa.array(texts[a : a + 40], pa.string())))
-        for i, x in enumerate(texts[a : a + 40]):
-            assert ids[first[i] : first[i + 1]].tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 2]
+    # In pieces, with a memory that is too small, and whole, as for a tokenizer that splits in another way.
+    assert e.cuts
+    for remembered, cuts in ((orc_tokens.REMEMBERED, True), (300, True), (100, True), (orc_tokens.REMEMBERED, False)):
+        was, orc_tokens.REMEMBERED, e.cuts = orc_tokens.REMEMBERED, remembered, cuts
+        for a in range(0, len(texts), 40):
+            ids, first = e.encode(X.texts_of(pa.array(texts[a : a + 40], pa.string())))
+            for i, x in enumerate(texts[a : a + 40]):
+                assert ids[first[i] : first[i + 1]].tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        orc_tokens.REMEMBERED = was
 
 
 def test_orc_round_trip(spark, docs, none, tmp_path):
