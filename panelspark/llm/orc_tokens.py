@@ -17,7 +17,6 @@ are told apart by a 64-bit hash of their bytes and length.
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -42,15 +41,15 @@ SLOT_BITS = 21
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tok = Tokenizer.from_file(path)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token: a character stands for a byte
         for word, i in vocab.items():
             self.size[i] = len(word)
-        spec = json.loads(self.tok.to_str())
-        split = spec.get("pre_tokenizer") or {}
-        self.cuts = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        split = self.tok.pre_tokenizer
+        self.cuts = self.tok.normalizer is None and isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.forget()
 

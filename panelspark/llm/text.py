@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def space_table() -> np.ndarray:
