@@ -91,15 +91,12 @@ def sim_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Relational layer
 
 
-@query("""WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = (SELECT min(event_type) FROM events)),
-f AS (SELECT user_id, ts AS fts, max(value) AS fv FROM events WHERE event_type = (SELECT max(event_type) FROM events) GROUP BY ALL)
-SELECT e.event_id, e.user_id, round(f.fv, 6) + 0.0 AS last_value FROM e ASOF LEFT JOIN f ON e.user_id = f.user_id AND e.ts >= f.fts""")
+@query("""WITH f AS (SELECT user_id, ts AS fts, max(value) AS fv FROM events GROUP BY ALL)
+SELECT e.event_id, e.user_id, round(f.fv, 6) + 0.0 AS last_value FROM events e ASOF LEFT JOIN f ON e.user_id = f.user_id AND e.ts > f.fts""")
 def rel_asof_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each event of one type, the value of the user's latest event of another type."""
+    """For each event, the value of the user's latest event before it."""
     ev = read(spark, sf_dir, "events")
-    ends = ev.agg(F.min("event_type"), F.max("event_type")).first()
-    left, right = ev.where(C("event_type") == ends[0]).select("event_id", "user_id", "ts"), ev.where(C("event_type") == ends[1])
-    out = asof.backward(left, right.withColumn("last_value", C("value")), ["user_id"], "ts", "ts", ["last_value"], [C("value").desc_nulls_last()])
+    out = asof.backward(ev.select("event_id", "user_id", "ts"), ev.withColumn("last_value", C("value")), ["user_id"], "ts", "ts", ["last_value"], [C("value").desc_nulls_last()], strict=True)
     return out.select("event_id", "user_id", "last_value")
 
 
@@ -134,12 +131,25 @@ def rel_trading_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.days_between(o.join(first, "o_custkey"), asof.day_numbers(o, "d"), "d", "f", "d", "days").select("o_orderkey", C("days").cast("long").alias("days"))
 
 
-@query(panel_sql() + ", x AS (SELECT date, code, close, lag(close) OVER (PARTITION BY code ORDER BY date) AS pc, disc FROM p), y AS (SELECT *, pc * 1.1 AS up, pc * 0.9 AS dn FROM x) SELECT date, code, coalesce(abs(close - up) <= greatest(abs(up) * 1e-4, 1e-4), false) AS lu, close IS NOT NULL AND NOT (coalesce(disc > 0.06, false)) AS tradable, close IS NOT NULL AND NOT coalesce(disc > 0.06, false) AND NOT coalesce(abs(close - up) <= greatest(abs(up) * 1e-4, 1e-4), false) AS can_buy, close IS NOT NULL AND NOT coalesce(disc > 0.06, false) AND NOT coalesce(abs(close - dn) <= greatest(abs(dn) * 1e-4, 1e-4), false) AS can_sell FROM y")
+LIVE = "close IS NOT NULL AND NOT coalesce(disc > 0.06, false) AND coalesce(volume, 0) > 0 AND coalesce(am, 0) > 0"
+
+
+def at_sql(x: str, limit: str) -> str:
+    return f"coalesce(abs({x} - {limit}) <= greatest(abs({limit}) * 1e-4, 1e-4), false)"
+
+
+def one_price_sql(limit: str) -> str:
+    return " AND ".join(at_sql(x, limit) for x in ("close", "close", "hi", "close"))
+
+
+@query(panel_sql() + f""", x AS (SELECT date, code, close, disc, volume, CASE WHEN code % 7 = 0 THEN 0 ELSE amount END AS am, CASE WHEN code % 3 = 0 THEN close ELSE close * 1.01 END AS hi, CASE WHEN code % 2 = 0 THEN close ELSE close * 1.1 END AS up, CASE WHEN code % 5 = 0 THEN close ELSE close * 0.9 END AS dn FROM p)
+SELECT date, code, {at_sql('close', 'up')} AS is_limit_up_close, {at_sql('close', 'dn')} AS is_limit_down_close, {one_price_sql('up')} AS is_one_price_up_limit, {one_price_sql('dn')} AS is_one_price_down_limit, {LIVE} AS tradable, {LIVE} AND NOT ({one_price_sql('up')}) AS can_buy, {LIVE} AND NOT ({one_price_sql('dn')}) AS can_sell FROM x""")
 def rel_tradability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = supplier_panel(spark, sf_dir).df
-    prior = F.lag("close").over(Window.partitionBy("code").orderBy("date"))
-    d = d.withColumns({"up_limit": prior * 1.1, "down_limit": prior * 0.9, "is_suspended": C("disc") > 0.06, "high": C("close"), "low": C("close")})
-    return asof.tradability(d).select("date", "code", C("is_limit_up_close").alias("lu"), "tradable", "can_buy", "can_sell")
+    """Days at a limit at the close, whole days at it, days without trade."""
+    d, c = supplier_panel(spark, sf_dir).df, C("close")
+    every = lambda n, a, b: F.when(C("code") % n == 0, a).otherwise(b)
+    d = d.withColumns({"up_limit": every(2, c, c * 1.1), "down_limit": every(5, c, c * 0.9), "is_suspended": C("disc") > 0.06, "open": c, "high": every(3, c, c * 1.01), "low": c, "amount": every(7, F.lit(0.0), C("amount"))})
+    return asof.tradability(d).select("date", "code", "is_limit_up_close", "is_limit_down_close", "is_one_price_up_limit", "is_one_price_down_limit", "tradable", "can_buy", "can_sell")
 
 
 @query("SELECT count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS s FROM lineitem SEMI JOIN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5) m ON l_suppkey = s_suppkey")
@@ -230,7 +240,7 @@ def res_sampled_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LAYER = """, v AS (SELECT * FROM l WHERE value IS NOT NULL AND ret IS NOT NULL), qd AS (SELECT factor, date, quantile_cont(value, [0, 0.2, 0.4, 0.6, 0.8, 1]) AS e, count(*) AS n, min(value) AS lo, max(value) AS hi FROM v GROUP BY ALL),
-la AS (SELECT v.*, CAST(CASE WHEN n < 5 THEN row_number() OVER (PARTITION BY v.factor, v.date ORDER BY value, code)
+la AS (SELECT v.*, CAST(CASE WHEN n = 1 THEN 3 WHEN n < 5 THEN greatest(1, ceil((row_number() OVER (PARTITION BY v.factor, v.date ORDER BY code) - 1) * 5 / CAST(n - 1 AS DOUBLE)))
  WHEN len(list_distinct(e)) = 6 THEN CASE WHEN value <= e[2] THEN 1 WHEN value <= e[3] THEN 2 WHEN value <= e[4] THEN 3 WHEN value <= e[5] THEN 4 ELSE 5 END
  WHEN lo = hi THEN 3 ELSE greatest(1, least(5, ceil((value - lo) / ((hi - lo) / 5)))) END AS INTEGER) AS layer FROM v JOIN qd USING (factor, date))"""
 
@@ -310,17 +320,62 @@ def res_long_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.long_short(R.layers(long(spark, sf_dir), 5), 5)
 
 
-@query(BASE + PNL + f""", ls50 AS (SELECT factor, date, ret / 50 AS ret FROM lsr), cu AS (SELECT factor, date, ret, CASE WHEN min(ret) OVER (PARTITION BY factor) <= -1 THEN 1 + sum(ret) OVER (PARTITION BY factor ORDER BY date) ELSE product(1 + ret) OVER (PARTITION BY factor ORDER BY date) END AS c FROM ls50 WHERE ret IS NOT NULL), pk AS (SELECT *, greatest(1, max(c) OVER (PARTITION BY factor ORDER BY date)) AS p FROM cu),
-rs AS (SELECT factor, count(*) AS days, arg_max(c, date) - 1 AS total, stddev_samp(ret) * sqrt(252) AS vol, min(c / p - 1) AS dd, avg(ret) AS mean_ret, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS win FROM pk GROUP BY factor), an AS (SELECT *, CASE WHEN total > -1 THEN power(total + 1, 252.0 / days) - 1 ELSE 0 END AS annual FROM rs)
-SELECT factor, days, {r6('total')} AS total, {r6('vol')} AS vol, {r6('dd')} AS max_drawdown, {r6('mean_ret')} AS mean_ret, {r6('win')} AS win_rate, {r6('annual')} AS annual, {r6('annual / 2 / vol')} AS sharpe, {r6('annual / 2 / vol * sqrt(abs(annual) / greatest(abs(dd), 0.125))')} AS fitness FROM an""")
+def risk_sql(source: str, by: str, name: str) -> str:
+    """Common table expressions that end in ``name``: the risk of each series of a table (by, date, ret)."""
+    return f""", {name}1 AS (SELECT *, max(CASE WHEN ret <= -1 THEN 1 ELSE 0 END) OVER (PARTITION BY {by}) AS bad FROM {source} WHERE ret IS NOT NULL),
+{name}2 AS (SELECT *, CASE WHEN bad = 1 THEN 1 + sum(ret) OVER w ELSE product(1 + ret) OVER w END AS c FROM {name}1 WINDOW w AS (PARTITION BY {by} ORDER BY date)),
+{name}3 AS (SELECT *, nullif(max(c) OVER (PARTITION BY {by} ORDER BY date), 0) AS p FROM {name}2),
+{name}4 AS (SELECT {by}, count(*) AS days, max(bad) AS bad, arg_max(c, date) - 1 AS total, sum(CASE WHEN bad = 0 THEN ln(1 + ret) END) AS lg, coalesce(stddev_samp(ret) * sqrt(252), 0) AS vol, coalesce(abs(min((c - p) / p)), 0) AS max_drawdown, avg(ret) AS mean_ret, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS win_rate FROM {name}3 GROUP BY {by}),
+{name}5 AS (SELECT *, CASE WHEN days / 252.0 < 0.01 THEN 0 WHEN bad = 1 THEN total / (days / 252.0) ELSE exp(lg / (days / 252.0)) - 1 END AS annual FROM {name}4),
+{name}6 AS (SELECT *, coalesce(annual / 2 / nullif(vol, 0), 0) AS sharpe FROM {name}5),
+{name} AS (SELECT *, CASE WHEN max_drawdown <> 0 THEN sharpe * sqrt(abs(annual / 2) / greatest(max_drawdown, 0.125)) ELSE 0 END AS fitness FROM {name}6)"""
+
+
+def slog(x: str) -> str:
+    """What compounds to huge numbers, on a logarithmic scale: sign(x) ln(1 + |x|), to be compared to six places."""
+    return r6(f"sign({x}) * ln(1 + abs({x}))")
+
+
+def logarithmic(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.signum(c) * F.log1p(F.abs(c)) for c in names})
+
+
+SERIES = PNL + ", se AS (SELECT factor, date, ret FROM lsr UNION ALL SELECT factor || '_broken', date, ret * 30 - 0.1 FROM lsr)"
+
+
+@query(BASE + SERIES + risk_sql("se", "factor", "ri") + f" SELECT factor, days, {slog('total')} AS total, {r6('vol')} AS vol, {r6('max_drawdown')} AS max_drawdown, {r6('mean_ret')} AS mean_ret, {r6('win_rate')} AS win_rate, {slog('annual')} AS annual, {slog('sharpe')} AS sharpe, {slog('fitness')} AS fitness FROM ri")
 def res_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The made-up returns are huge; a fiftieth of them compounds to numbers that can be compared.
-    return R.risk(R.long_short(R.layers(long(spark, sf_dir), 5), 5).withColumn("ret", C("ret") / 50))
+    """Of long and short returns, and of thirty times as large ones that fall below -1."""
+    d = R.long_short(R.layers(long(spark, sf_dir), 5), 5)
+    broken = d.select(F.concat("factor", F.lit("_broken")).alias("factor"), "date", (C("ret") * 30 - 0.1).alias("ret"))
+    return logarithmic(R.risk(d.unionByName(broken)), "total", "annual", "sharpe", "fitness")
 
 
-@query(BASE + LAYER + f", dy AS (SELECT factor, date, lag(date) OVER (PARTITION BY factor ORDER BY date) AS pd FROM (SELECT DISTINCT factor, date FROM la)) SELECT n.factor, n.date, {r6('avg(CASE WHEN o.code IS NULL THEN 1.0 ELSE 0 END)')} AS turnover FROM la n JOIN dy USING (factor, date) LEFT JOIN la o ON o.factor = n.factor AND o.date = pd AND o.code = n.code AND o.layer = 5 WHERE n.layer = 5 AND pd IS NOT NULL GROUP BY ALL")
+@query(BASE + LAYER + f""", ed AS (SELECT factor, date, code, layer = min(layer) OVER d AS lo, layer = max(layer) OVER d AS hi FROM la WINDOW d AS (PARTITION BY factor, date)), ex AS (SELECT * FROM ed WHERE lo OR hi), dy AS (SELECT factor, date, lead(date) OVER (PARTITION BY factor ORDER BY date) AS nd FROM (SELECT DISTINCT factor, date FROM la))
+SELECT b.factor, nd AS date, {r6('count(*) FILTER (b.lo AND NOT coalesce(n.lo, false)) / nullif(CAST(count(*) FILTER (b.lo) AS DOUBLE), 0)')} AS min_layer_turnover, {r6('count(*) FILTER (b.hi AND NOT coalesce(n.hi, false)) / nullif(CAST(count(*) FILTER (b.hi) AS DOUBLE), 0)')} AS max_layer_turnover, count(*) FILTER (b.lo) AS min_layer_count, count(*) FILTER (b.hi) AS max_layer_count
+FROM ex b JOIN dy USING (factor, date) LEFT JOIN ex n ON n.factor = b.factor AND n.date = nd AND n.code = b.code WHERE nd IS NOT NULL GROUP BY 1, 2""")
 def res_membership_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.membership_turnover(R.layers(long(spark, sf_dir), 5), 5)
+    return R.membership_turnover(R.layers(long(spark, sf_dir), 5))
+
+
+BEST = LAYER + """, di AS (SELECT factor, CASE WHEN avg(ic) < 0 THEN -1 ELSE 1 END AS direction FROM ic GROUP BY factor), en AS (SELECT factor, min(layer) AS lo, max(layer) AS hi FROM la GROUP BY factor),
+bl AS (SELECT factor, CASE WHEN coalesce(direction, 1) >= 0 THEN hi ELSE lo END AS best_layer, CASE WHEN coalesce(direction, 1) >= 0 OR lo = hi THEN 'top' ELSE 'bottom' END AS best_direction FROM en LEFT JOIN di USING (factor)),
+bd AS (SELECT factor, date, avg(CASE WHEN layer = best_layer THEN ret END) AS best, avg(ret) AS universe FROM la JOIN bl USING (factor) GROUP BY ALL),
+bs AS (SELECT factor, 'best' AS kind, date, best AS ret FROM bd UNION ALL SELECT factor, 'universe', date, universe FROM bd UNION ALL SELECT factor, 'excess', date, coalesce(best, 0) - coalesce(universe, 0) FROM bd)""" + risk_sql("bs", "factor, kind", "bri") + """,
+bm AS (SELECT factor, avg(CASE WHEN s > 0 THEN 1.0 ELSE 0 END) AS positive_months FROM (SELECT factor, date_trunc('month', date) AS m, sum(best) AS s FROM bd WHERE best IS NOT NULL GROUP BY ALL) GROUP BY factor),
+bk AS (SELECT factor, """ + ", ".join(f"max(CASE WHEN kind = 'best' THEN {c} END) AS best_{c}" for c in ("total", "annual", "vol", "sharpe", "max_drawdown", "fitness")) + """, max(CASE WHEN kind = 'universe' THEN annual END) AS universe_annual, max(CASE WHEN kind = 'excess' THEN annual END) AS excess_annual FROM bri GROUP BY factor)"""
+
+
+def best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = long(spark, sf_dir)
+    return R.best_layer(R.layers(d, 5), R.directions(R.daily_ic(d), C("date").isNotNull()))
+
+
+@query(IC + BEST + f" SELECT factor, CAST(best_layer AS INTEGER) AS best_layer, best_direction, {slog('best_total')} AS best_total, {slog('best_annual')} AS best_annual, {r6('best_vol')} AS best_vol, {slog('best_sharpe')} AS best_sharpe, {r6('best_max_drawdown')} AS best_max_drawdown, {slog('best_fitness')} AS best_fitness, {slog('universe_annual')} AS universe_annual, {slog('excess_annual')} AS excess_annual, {r6('positive_months')} AS positive_months FROM bl JOIN bk USING (factor) JOIN bm USING (factor)")
+def res_best_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long-only metrics of the layer that the sign of the IC points to, against all rows in equal weights."""
+    d = logarithmic(best(spark, sf_dir), "best_total", "best_annual", "best_sharpe", "best_fitness", "universe_annual", "excess_annual")
+    return d.withColumn("best_layer", C("best_layer").cast("int"))
 
 
 TOP = """, tp AS (SELECT factor, date, code, ret, 1.0 / count(*) OVER (PARTITION BY factor, date) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY factor, date ORDER BY value DESC, code) AS rn FROM l WHERE value IS NOT NULL) WHERE rn <= 10),
@@ -345,9 +400,9 @@ def res_turnover_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.turnover_summary(top10(spark, sf_dir))
 
 
-@query(BASE + TOP + f" SELECT factor, date, 'top10' AS portfolio, {r6('gross / 50')} AS gross, {r6('net / 50')} AS net, {r6('product(1 + gross / 50) OVER w - 1')} AS cum_gross, {r6('product(1 + net / 50) OVER w - 1')} AS cum_net FROM pn WINDOW w AS (PARTITION BY factor ORDER BY date)")
+@query(BASE + TOP + f" SELECT factor, date, 'top10' AS portfolio, {r6('gross')} AS gross, {r6('net')} AS net, {slog('product(1 + gross) OVER w - 1')} AS cum_gross, {slog('product(1 + net) OVER w - 1')} AS cum_net FROM pn WINDOW w AS (PARTITION BY factor ORDER BY date)")
 def res_pnl_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.pnl_table({"top10": top10(spark, sf_dir).withColumns({"gross": C("gross") / 50, "net": C("net") / 50})})
+    return logarithmic(R.pnl_table({"top10": top10(spark, sf_dir)}), "cum_gross", "cum_net")
 
 
 @query(BASE + TOP + f" SELECT factor, {r6('sum(gross) / sum(turnover)')} AS margin FROM pn GROUP BY factor")
@@ -415,12 +470,38 @@ def res_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.correlations(base(spark, sf_dir), ["factor_a", "factor_b"])
 
 
-@query()
+MONTHS = ", mo AS (SELECT factor, strftime(date, '%Y-%m') AS period, avg(ic) AS mean FROM ic GROUP BY ALL), sg AS (SELECT factor, sign(avg(ic)) AS s FROM ic GROUP BY factor)"
+SAME = "avg(CASE WHEN sign(mean) = s THEN 1.0 WHEN mean IS NOT NULL THEN 0 END)"
+EFFECT = IC + YEARS + MONTHS + BEST + TOP + f""", mlr AS (SELECT factor, date, layer, avg(ret) AS ret FROM la GROUP BY ALL), mrk AS (SELECT factor, date, {rank_sql('layer', 'factor, date')} AS a, {rank_sql('ret', 'factor, date')} AS c FROM mlr),
+mrh AS (SELECT factor, date, covar_samp(a, c) / (nullif(stddev_samp(a), 0) * nullif(stddev_samp(c), 0)) AS rho FROM mrk GROUP BY ALL),
+et AS (SELECT factor, ic_mean, ir, ic_count, s * rho AS monotonicity, yc, mc, coverage, margin, turnover, best_annual, best_sharpe, best_max_drawdown, excess_annual, positive_months FROM
+ (SELECT factor, avg(ic) AS ic_mean, coalesce(avg(ic) / nullif(stddev_samp(ic), 0), 0) AS ir, count(ic) AS ic_count FROM ic GROUP BY factor) JOIN sg USING (factor) JOIN (SELECT factor, avg(rho) AS rho FROM mrh GROUP BY factor) USING (factor)
+ JOIN (SELECT factor, {SAME} AS yc FROM yr JOIN sg USING (factor) GROUP BY factor) USING (factor) JOIN (SELECT factor, {SAME} AS mc FROM mo JOIN sg USING (factor) GROUP BY factor) USING (factor)
+ JOIN (SELECT factor, avg(CASE WHEN value IS NOT NULL THEN 1.0 ELSE 0 END) AS coverage FROM l GROUP BY factor) USING (factor)
+ JOIN (SELECT factor, CASE WHEN sum(turnover) > 1e-8 THEN sum(gross) / sum(turnover) END AS margin, avg(turnover) AS turnover FROM pn GROUP BY factor) USING (factor) JOIN bk USING (factor) JOIN bm USING (factor))"""
+
+
+def clip_sql(x: str, zero: float, one: float) -> str:
+    return f"coalesce(greatest(0, least(1, ({x} - {zero}) / ({one} - {zero}))), 0)"
+
+
+SCORES = f""", sc AS (SELECT *, 100 * ({clip_sql('abs(ic_mean)', 0.02, 0.08)} + {clip_sql('abs(ir)', 0.3, 0.8)} + {clip_sql('monotonicity', 0, 0.4)}) / 3 AS s1,
+ 100 * ({clip_sql('best_annual', 0.05, 0.5)} + {clip_sql('best_sharpe', 0.5, 2.5)} + {clip_sql('best_max_drawdown', 0.5, 0.05)} + {clip_sql('margin', 0.001, 0.03)} + {clip_sql('excess_annual', 0.03, 0.48)} + {clip_sql('positive_months', 0.48, 0.75)}) / 6 AS s2,
+ 100 * ({clip_sql('yc', 0.5, 0.9)} * 0.3 + {clip_sql('mc', 0.55, 0.9)} * 0.7) AS s3, 100 * ({clip_sql('turnover', 0.75, 0.15)} * 0.4 + {clip_sql('margin', 0.001, 0.02)} * 0.6) AS s4 FROM et), st AS (SELECT *, s1 * 0.3 + s2 * 0.45 + s3 * 0.05 + s4 * 0.2 AS score FROM sc)"""
+
+
+@query(EFFECT + SCORES + f" SELECT factor, {r6('s1')} AS score_predictive_power, {r6('s2')} AS score_long_only_performance, {r6('s3')} AS score_stability, {r6('s4')} AS score_tradeability, {r6('score')} AS score, CASE WHEN score >= 80 THEN 'S' WHEN score >= 70 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'REJECT' END AS tier, false AS stage_a, false AS stage_b, ic_count >= 250 AS enough FROM st")
 def res_effectiveness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from all parts; without a p value no factor passes the first stage."""
     d = long(spark, sf_dir)
     ic = R.daily_ic(d)
-    parts = [R.ic_summary(ic).select("factor", "ic_mean", "ir"), R.risk(R.long_short(R.layers(d, 5), 5)).select("factor", "sharpe", "max_drawdown"), R.coverage(d).select("factor", "coverage"), R.sign_consistency(R.ic_breakdown(ic), ic).select("factor", "consistency")]
-    table = parts[0]
-    for p in parts[1:]:
-        table = table.join(p, "factor", "left")
-    return R.effectiveness(table)
+    layered = R.layers(d, 5)
+    sign = ic.groupBy("factor").agg(F.signum(F.avg("ic")).alias("_s"))
+    mono = R.monotonicity(layered).groupBy("factor").agg(F.avg("rho").alias("_rho")).join(sign, "factor").select("factor", (C("_s") * C("_rho")).alias("monotonicity"))
+    consistent = lambda pattern, name: R.sign_consistency(R.ic_breakdown(ic, pattern), ic).select("factor", C("consistency").alias(name))
+    p = top10(spark, sf_dir)
+    table = R.ic_summary(ic).select("factor", "ic_mean", "ir", "ic_count")
+    for part in (mono, consistent("yyyy", "yearly_consistency"), consistent("yyyy-MM", "monthly_consistency"), R.coverage(d).select("factor", "coverage"), R.margin(p), R.turnover_summary(p).select("factor", C("mean").alias("turnover")), best(spark, sf_dir)):
+        table = table.join(part, "factor", "left")
+    out = R.effectiveness(table)
+    return out.select("factor", *[f"score_{x}" for x in R.PARTS], "score", "tier", "stage_a", "stage_b", (C("ic_count") >= 250).alias("enough"))

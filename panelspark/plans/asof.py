@@ -63,12 +63,21 @@ def near(a: Column, b: Column, share: float = 1e-4, least: float = 1e-4) -> Colu
     return F.coalesce(F.abs(a - b) <= F.greatest(F.abs(b) * share, F.lit(least)), F.lit(False))
 
 
-def tradability(df: DataFrame, close: str = "close", high: str = "high", low: str = "low", up: str = "up_limit", down: str = "down_limit", suspended: str = "is_suspended") -> DataFrame:
-    """Flags of a day: limits touched, one price, whether it can be bought or sold."""
+def tradability(df: DataFrame, require_close: bool = True, require_volume: bool = True, require_amount: bool = True) -> DataFrame:
+    """Flags of a day from open, high, low, close, volume, amount, up_limit, down_limit and is_suspended.
+
+    A day is tradable if it isn't suspended and has what is required; it can be
+    bought unless the whole day stood at the upper limit, and sold unless it stood at the lower.
+    """
     c = F.col
-    live = ~F.coalesce(c(suspended).cast("boolean"), F.lit(False)) & c(close).isNotNull()
-    at_up, at_down = near(c(close), c(up)), near(c(close), c(down))
-    return df.withColumns({"is_limit_up_close": at_up, "is_limit_down_close": at_down, "is_one_price": near(c(high), c(low)), "tradable": live, "can_buy": live & ~at_up, "can_sell": live & ~at_down})
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    live = ~yes(c("is_suspended").cast("boolean"))
+    for wanted, ok in ((require_close, c("close").isNotNull()), (require_volume, yes(c("volume") > 0)), (require_amount, yes(c("amount") > 0))):
+        live = live & ok if wanted else live
+    at = lambda limit: near(c("close"), c(limit))
+    one_price = lambda limit: at(limit) & near(c("open"), c(limit)) & near(c("high"), c(limit)) & near(c("low"), c(limit))
+    up, down = one_price("up_limit"), one_price("down_limit")
+    return df.withColumns({"is_limit_up_close": at("up_limit"), "is_limit_down_close": at("down_limit"), "is_one_price_up_limit": up, "is_one_price_down_limit": down, "tradable": live, "can_buy": live & ~up, "can_sell": live & ~down})
 
 
 def members(df: DataFrame, membership: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -22,8 +22,13 @@ from panelspark.operators.registry import REGISTRY
 from .language import Call, ExpressionError, Field, Literal, Node, canonical, children, degenerate, fields, parse, portable, structural_hash, text_of
 
 WINDOWS = (5, 10, 22, 66, 132)
-#: Names that may tell the future.
-LEAKY = re.compile(r"(^|_)(future|fwd|forward|next|target|label)(_|$)")
+#: Names that may tell the future or aren't features: parts of names, and whole names.
+LEAKY = re.compile(
+    r"future|target|label|next_return|^ret_exec_|_audit_|(^|_)(fwd|forward|next)(_|$)"
+    r"|^(date|trade_date|code|znz_code|ticker|symbol|universe|tradable|can_trade|can_buy|can_sell|is_one_price_up_limit|is_one_price_down_limit|is_limit_up_close|is_limit_down_close"
+    r"|is_tradeable|is_st|is_suspended|suspended|pct_chg|ret_1d|return_col|y)$",
+    re.IGNORECASE,
+)
 #: Operators that take each other's place without a change of arguments.
 SWAPS = [("ts_mean", "ts_median", "ts_decay_linear"), ("ts_max", "ts_min"), ("rank", "zscore", "normalize"), ("ts_corr", "ts_covariance"), ("add", "sub"), ("group_rank", "group_zscore", "group_neutralize")]
 

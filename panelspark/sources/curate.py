@@ -125,15 +125,17 @@ def weighted_distribution(df: DataFrame, by: Sequence[str], value: str, weight:
     return one.withColumn("std", F.sqrt(F.greatest(C("_sq") - C("mean") * C("mean"), F.lit(0.0)))).drop("_sq")
 
 
-#: A rating's text to its grade.
-GRADES = {5.0: ("buy", "strong buy", "买入", "强烈推荐", "强推"), 4.0: ("outperform", "overweight", "增持", "推荐", "谨慎推荐"), 3.0: ("neutral", "hold", "中性", "持有"), 2.0: ("underperform", "reduce", "减持", "underweight"), 1.0: ("sell", "卖出", "回避")}
+#: What a rating's text contains, tried in this order, and its grade.
+GRADES = [(5.0, ("买", "buy", "涔")), (4.0, ("增", "outperform", "澧")), (3.0, ("持有", "hold", "中性")), (2.0, ("减", "underperform")), (1.0, ("卖", "sell"))]
 
 
 def grade(text: Column) -> Column:
-    clean = F.lower(F.trim(text))
-    out = None
-    for g, names in GRADES.items():
-        hit = clean.isin(*names)
+    """The grade of the first token found in a rating, in any case; NULL if none is."""
+    clean, out = F.lower(F.trim(text)), None
+    for g, tokens in GRADES:
+        hit = F.lit(False)
+        for t in tokens:
+            hit = hit | clean.contains(t)
         out = F.when(hit, F.lit(g)) if out is None else out.when(hit, F.lit(g))
     return out
 

@@ -11,19 +11,38 @@ from pyspark.sql import types as T
 
 
 def scan(spark: SparkSession, path: str, expected: T.StructType | str | None = None) -> DataFrame:
-    """All files below a path by column name; expected columns that are missing are typed NULLs, no file is an empty table."""
+    """All files below a path by column name; expected columns that are missing are typed NULLs, a path that isn't there is an empty table.
+
+    A file that cannot be read is an error: an upsert that left it out would erase its rows.
+    """
     from pyspark.errors import AnalysisException
 
     wanted = spark.createDataFrame([], expected).schema if expected is not None else T.StructType([])
     try:
-        df = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(path)
-    except AnalysisException:
+        df = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", False).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA") or expected is None or any_file(spark, path):
+            raise
         return spark.createDataFrame([], wanted)
     have = {c.lower(): c for c in df.columns}
     extra = [c for c in df.columns if c not in wanted.fieldNames()]
     return df.select(*[(F.col(f"`{have[f.name.lower()]}`").try_cast(f.dataType) if f.name.lower() in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted], *[F.col(f"`{c}`") for c in extra])
 
 
+def any_file(spark: SparkSession, path: str) -> bool:
+    """Whether there is a data file below a path, on whatever file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return False
+    files = fs.listFiles(p, True)
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(".parquet"):
+            return True
+    return False
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row a key: the first in an order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
@@ -33,13 +52,19 @@ def latest_snapshot(df: DataFrame, keys: Sequence[str], snapshot: str = "snapsho
     return latest(df, keys, [F.col(snapshot).desc_nulls_last()])
 
 
-def merged(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Old and new rows, the new ones winning; a key may be NULL."""
+def merged(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """Old and new rows, the new ones winning; a key may be NULL.
+
+    Among new rows of one key the first by ``order`` wins, then the greatest of their
+    other columns, so the result doesn't depend on how rows arrive.
+    """
+    kinds = dict(new.dtypes)
+    rest = [F.col(f"`{c}`").desc_nulls_last() for c in new.columns if c not in keys and not kinds[c].startswith(("map", "variant"))]
     both = old.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)), allowMissingColumns=True)
-    return latest(both, keys, [F.col("_age").desc()]).drop("_age")
+    return latest(both, keys, [F.col("_age").desc(), *order, *rest]).drop("_age")
 
 
-def upsert(spark: SparkSession, new: DataFrame, path: str, keys: Sequence[str], date: str, mode: str = "upsert") -> None:
+def upsert(spark: SparkSession, new: DataFrame, path: str, keys: Sequence[str], date: str, mode: str = "upsert", order: Sequence[Column] = ()) -> None:
     """Write rows into month partitions; only months that ``new`` touches are read and replaced."""
     parts = {"year": F.year(date), "month": F.month(date)}
     new = new.withColumns(parts)
@@ -47,7 +72,7 @@ def upsert(spark: SparkSession, new: DataFrame, path: str, keys: Sequence[str],
     if mode == "upsert":
         old = scan(spark, path, new.schema)
         # A month partition is small; the list of touched months is smaller still.
-        new = merged(old.join(F.broadcast(touched), ["year", "month"], "left_semi"), new, keys)
+        new = merged(old.join(F.broadcast(touched), ["year", "month"], "left_semi"), new, keys, order)
     # The result is written aside first: it reads what it replaces.
     aside = f"{path.rstrip('/')}__staged"
     new.write.mode("overwrite").partitionBy("year", "month").parquet(aside)

@@ -87,56 +87,94 @@ def parse_combination(text: str, names: Sequence[str], columns: dict[str, Sequen
     return [x / size for x in out]
 
 
-def target_holdings(day: DataFrame, n: int, cash_buffer: float = 0.02, least: float | None = None) -> DataFrame:
-    """The n best tradable names of a signal (code, score, can_buy, close): equal weights of what isn't held as cash, and deciles of the score."""
-    ok = day.where(C("score").isNotNull() & F.coalesce(C("can_buy").cast("boolean"), F.lit(False)) & (C("close") > 0))
-    if least is not None:
-        ok = ok.where(C("score") >= least)
-    best = ok.orderBy(C("score").desc(), "code").limit(n)
-    count = best.agg(F.count("*").alias("_n"))
-    return best.crossJoin(F.broadcast(count)).withColumn("target_weight", F.try_divide(F.lit(1 - cash_buffer), C("_n"))).withColumn("decile", F.ntile(10).over(Window.orderBy(C("score").desc(), "code"))).drop("_n")
+def target_holdings(day: DataFrame, count: int = 100, least_count: int = 50, least_fill: float = 0.7, most_weight: float = 0.02, cash: float = 0.02, tradable_only: bool = True) -> DataFrame:
+    """(code, signal, signal_rank, layer, target_weight, close): the best names of a signal that can be bought, in equal weights.
 
+    ``day``: code, score, close and can_buy, is_st, is_suspended, is_limit_up_close
+    (a missing flag counts as 0).  Nothing is held if there are fewer than
+    ``least_count`` names or ``least_fill`` of ``count``, or if a name would weigh more
+    than ``most_weight``.  Layers are tenths of the ranks.  Ties go by code.
+    """
+    ok = day.where(C("score").isNotNull())
+    if tradable_only:
+        flag = lambda c: F.coalesce(C(c).cast("double"), F.lit(0.0)) > 0
+        ok = ok.where(flag("can_buy") & ~flag("is_st") & ~flag("is_suspended") & ~flag("is_limit_up_close"))
+    best = ok.orderBy(C("score").desc(), "code").limit(count)  # from here on some hundred rows
+    best = best.withColumns({"signal_rank": F.row_number().over(Window.orderBy(C("score").desc(), "code")), "_n": F.count("*").over(Window.partitionBy())})
+    best = best.withColumn("target_weight", F.lit(1 - cash) / C("_n"))
+    best = best.where((C("_n") >= least_count) & (C("_n") / max(1, count) >= least_fill) & (C("target_weight") <= most_weight + 1e-12))
+    # Rank r of n lies in the k-th of q parts if (r - 1) / (n - 1) is at most k / q.
+    q = F.least(F.lit(10), C("_n"))
+    layer = F.greatest(F.lit(1), F.ceil(F.try_divide((C("signal_rank") - 1) * q, nonzero(C("_n") - 1))).cast("int"))
+    return best.select("code", C("score").alias("signal"), "signal_rank", F.coalesce(layer, F.lit(1)).alias("layer"), "target_weight", "close")
+
+
+def rebalance(targets: DataFrame, positions: DataFrame, total: float, cash: float, gross: float = 0.98, cash_buffer: float = 0.02, lot: int = 100, least_value: float = 5000.0, odd_lot_sell: bool = False, keep_unsellable: bool = True) -> DataFrame:
+    """(code, side, target_value, current_value, order_shares, order_value, blocked_reason) from targets (code, target_weight, close) and positions (code, shares, available, last_price, can_sell, is_suspended, is_limit_down_close).
+
+    What cannot be sold is taken out of the value to invest; purchases are scaled
+    down to the cash there is before any sale, less a buffer; shares are whole lots,
+    and orders under ``least_value`` are left.  ``side`` is what was wanted.
+    """
+    zero = F.lit(0.0)
+    both = targets.select("code", "target_weight", "close").join(positions, "code", "full")
+    both = both.withColumns({c: F.coalesce(C(c).cast("double"), zero) for c in ("target_weight", "close", "shares", "available", "last_price")})
+    both = both.withColumns({"_value": C("shares") * C("last_price"), "_price": F.when(C("close") > 0, C("close")).otherwise(C("last_price"))})
+    wants_sale = (C("shares") > 0) & ((C("target_weight") <= 0) | (C("_value") > C("target_weight") * total * gross + 1e-9))
+    flag = lambda c: F.coalesce(C(c).cast("double") > 0, F.lit(False))
+    why = F.concat_ws(",", F.when(C("available") <= 0, "available_shares"), F.when(F.coalesce(C("can_sell").cast("double") <= 0, F.lit(False)), "can_sell"), F.when(flag("is_suspended"), "is_suspended"), F.when(flag("is_limit_down_close"), "is_limit_down_close"))
+    both = both.withColumn("_why", F.when(wants_sale & F.lit(keep_unsellable) & (why != ""), F.concat(F.lit("blocked_sell:"), why)).otherwise(""))
+    kept = both.agg(F.greatest(zero, F.lit(total * gross) - F.coalesce(F.sum(F.when(C("_why") != "", C("_value"))), zero)).alias("_invest"))
+    both = both.crossJoin(F.broadcast(kept)).withColumn("_want", C("target_weight") * C("_invest")).withColumn("_delta", C("_want") - C("_value"))  # kept is one row
+    need = both.agg(F.coalesce(F.sum(F.when(C("_delta") > 0, C("_delta"))), zero).alias("_need"))
+    both = both.crossJoin(F.broadcast(need))  # need is one row
+    scale = F.when(C("_need") > 0, F.least(F.lit(1.0), F.lit(max(0.0, cash * (1 - cash_buffer))) / nonzero(C("_need")))).otherwise(F.lit(1.0))
+    both = both.withColumn("_move", F.when(C("_delta") > 0, C("_delta") * scale).otherwise(C("_delta")))
+    lots = lambda n: F.floor(n / lot) * lot
+    size = F.floor(F.try_divide(F.abs("_move"), F.when(C("_price") > 0, C("_price"))))
+    sale = F.least(size, F.floor("available"))
+    shares = F.when(C("_move") > 0, lots(size)).otherwise(sale if odd_lot_sell else lots(sale))
+    both = both.withColumn("_shares", F.coalesce(shares, F.lit(0)).cast("long")).withColumn("_order", C("_shares") * C("_price"))
+    idle = (C("_price") <= 0) | (C("_move") == 0)
+    small = ~idle & (C("_order") < least_value)
+    sign = F.signum("_move")
+    value = F.when(C("_why") != "", zero).when(idle, C("_move")).when(small, zero).otherwise(C("_order") * sign)
+    count = F.when((C("_why") != "") | idle | small, F.lit(0)).otherwise(C("_shares") * sign).cast("long")
+    side = F.when(C("_why") != "", "HOLD").when(C("_move") > 0, "BUY").when(C("_move") < 0, "SELL").otherwise("HOLD")
+    reason = F.when((C("_why") == "") & small, "small_order_filtered").otherwise(C("_why"))
+    return both.select("code", side.alias("side"), C("_want").alias("target_value"), C("_value").alias("current_value"), count.alias("order_shares"), value.alias("order_value"), reason.alias("blocked_reason"))
+
+
+def compare_sections(a: DataFrame, b: DataFrame, k: int = 50) -> DataFrame:
+    """Of two signals of a day (code, value): the pairs both have, their rank correlation, the missing rates, and how much of the top and bottom k of the pairs they share (k at most their number)."""
+    both = a.select("code", C("value").alias("x")).join(b.select("code", C("value").alias("y")), "code", "full")
+    rates = both.agg(F.coalesce(F.avg(C("x").isNull().cast("double")), F.lit(1.0)).alias("missing_x"), F.coalesce(F.avg(C("y").isNull().cast("double")), F.lit(1.0)).alias("missing_y"))
+    # One day's codes, some thousands of rows.
+    pairs = both.where(C("x").isNotNull() & C("y").isNotNull())
+    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
+    place = lambda c, up: F.row_number().over(Window.orderBy(C(c).asc() if up else C(c).desc(), "code"))
+    rows = pairs.withColumns({"_rx": rank("x"), "_ry": rank("y"), "_tx": place("x", False), "_ty": place("y", False), "_bx": place("x", True), "_by": place("y", True), "_k": F.least(F.lit(k), F.count("*").over(Window.partitionBy()))})
+    share = lambda p, q: F.try_divide(F.count_if((C(p) <= C("_k")) & (C(q) <= C("_k"))).cast("double"), F.max("_k"))
+    one = rows.agg(F.count("*").alias("pairs"), finite(F.try_divide(F.covar_samp("_rx", "_ry"), nonzero(F.stddev_samp("_rx")) * nonzero(F.stddev_samp("_ry")))).alias("spearman"), share("_tx", "_ty").alias("top_overlap"), share("_bx", "_by").alias("bottom_overlap"))
+    return one.crossJoin(F.broadcast(rates)).withColumn("missing_delta", F.abs(C("missing_x") - C("missing_y")))  # a row each
 
-def rebalance(targets: DataFrame, positions: DataFrame, total: float, cash: float, lot: int = 100, least_value: float = 0.0, fee: float = 0.0003) -> DataFrame:
-    """Orders (code, side, shares, value) from targets (code, target_weight, close, can_buy, can_sell) and positions (code, shares, available, last_price, can_sell).
 
-    Sales first; purchases are scaled down to the cash there then is; shares are
-    whole lots (all of a position may be sold); orders under ``least_value`` are left.
+def health(ic: DataFrame, months: int = 6, warning: float = 0.5) -> DataFrame:
+    """(factor, recent_ic, past_ic, health_score, ic_trend, status, recommendation): the IC of the last months (21 dates each) against that of the dates before.
+
+    With no more dates than that the first one stands for the time before.
     """
-    t = targets.select("code", "target_weight", "close", C("can_buy").cast("boolean").alias("can_buy"))
-    p = positions.select("code", "shares", "available", "last_price", C("can_sell").cast("boolean").alias("can_sell"))
-    both = t.join(p, "code", "full")
-    price = F.coalesce("close", "last_price")
-    have, want = F.coalesce("shares", F.lit(0)), F.coalesce("target_weight", F.lit(0.0)) * total
-    both = both.withColumns({"_price": price, "_delta": want - have * price})
-    sell = F.when((C("_delta") < 0) & F.coalesce("can_sell", F.lit(True)), F.least(F.when(want == 0, have).otherwise(F.floor(F.try_divide(-C("_delta"), C("_price") * lot)) * lot), F.coalesce("available", F.lit(0))))
-    both = both.withColumn("_sell", F.coalesce(sell, F.lit(0)).cast("long"))
-    funds = both.agg((F.lit(cash) + F.coalesce(F.sum(C("_sell") * C("_price") * (1 - fee)), F.lit(0.0))).alias("_cash"), F.sum(F.when((C("_delta") > 0) & F.coalesce("can_buy", F.lit(False)), C("_delta") * (1 + fee))).alias("_need"))
-    both = both.crossJoin(F.broadcast(funds))
-    scale = F.least(F.lit(1.0), F.coalesce(F.try_divide("_cash", "_need"), F.lit(1.0)))
-    buy = F.when((C("_delta") > 0) & F.coalesce("can_buy", F.lit(False)), F.floor(F.try_divide(C("_delta") * scale, C("_price") * lot)) * lot)
-    both = both.withColumn("_buy", F.coalesce(buy, F.lit(0)).cast("long"))
-    out = both.select("code", F.when(C("_sell") > 0, "SELL").when(C("_buy") > 0, "BUY").alias("side"), F.greatest("_sell", "_buy").alias("shares"), C("_price").alias("price"))
-    return out.where(C("side").isNotNull()).withColumn("value", C("shares") * C("price")).where(C("value") >= least_value)
-
-
-def compare_sections(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
-    """Rank correlation of two signals of a day (code, value), their missing rates, and how much of the top and bottom k they share."""
-    both = a.select("code", C("value").alias("x")).join(b.select("code", C("value").alias("y")), "code", "full")
-    pair = C("x").isNotNull() & C("y").isNotNull()
-    rank = lambda c: F.when(pair, F.rank().over(Window.partitionBy(pair).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(pair, c)) - 1) / 2)
-    place = lambda c, up: F.when(C(c).isNotNull(), F.row_number().over(Window.orderBy(C(c).asc_nulls_last() if up else C(c).desc_nulls_last(), "code")))
-    rows = both.withColumns({"_rx": rank("x"), "_ry": rank("y"), "_tx": place("x", False), "_ty": place("y", False), "_bx": place("x", True), "_by": place("y", True)})
-    share = lambda p, q: F.try_divide(F.count_if((C(p) <= k) & (C(q) <= k)), F.lit(k))
-    return rows.agg(finite(F.try_divide(F.covar_samp("_rx", "_ry"), nonzero(F.stddev_samp("_rx")) * nonzero(F.stddev_samp("_ry")))).alias("spearman"), F.avg(C("x").isNull().cast("double")).alias("missing_x"), F.avg(C("y").isNull().cast("double")).alias("missing_y"), share("_tx", "_ty").alias("top_overlap"), share("_bx", "_by").alias("bottom_overlap"))
-
-
-def health(ic: DataFrame, recent: int = 20) -> DataFrame:
-    """(factor, recent_ic, past_ic, ratio, label): the last dates' mean IC against the time before."""
-    rows = ic.where(C("ic").isNotNull()).withColumn("_rn", F.row_number().over(Window.partitionBy("factor").orderBy(C("date").desc())))
-    one = rows.groupBy("factor").agg(F.avg(F.when(C("_rn") <= recent, C("ic"))).alias("recent_ic"), F.avg(F.when(C("_rn") > recent, C("ic"))).alias("past_ic"))
-    r = F.try_divide("recent_ic", nonzero(C("past_ic")))
-    return one.withColumn("ratio", r).withColumn("label", F.when(C("ratio").isNull(), "unknown").when(C("ratio") >= 0.7, "healthy").when(C("ratio") >= 0.3, "weakening").otherwise("decayed"))
+    dates = Window.partitionBy("factor")
+    rows = ic.where(C("ic").isNotNull()).withColumns({"_rn": F.row_number().over(dates.orderBy(C("date").desc())), "_n": F.count("*").over(dates)})
+    lookback = F.least(C("_n"), F.lit(months * 21))
+    old = (C("_rn") > lookback) | (C("_rn") == C("_n"))
+    one = rows.groupBy("factor").agg(F.avg(F.when(C("_rn") <= lookback, C("ic"))).alias("recent_ic"), F.avg(F.when(old, C("ic"))).alias("past_ic"))
+    flat = F.abs("past_ic") < 1e-6
+    one = one.withColumn("_r", F.when(flat, F.when(C("recent_ic") > 0, 1.0).otherwise(0.0)).otherwise(C("recent_ic") / nonzero(C("past_ic"))))
+    one = one.withColumn("health_score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), C("_r") * 100)))
+    level = lambda *x: F.when(C("health_score") >= 70, x[0]).when(C("health_score") >= 40, x[1]).otherwise(x[2])
+    trend = F.when(C("_r") >= 1, "improving").when(C("_r") >= warning, "stable").otherwise("declining")
+    return one.withColumns({"ic_trend": trend, "status": level("healthy", "warning", "critical"), "recommendation": level("keep", "review", "consider_remove")}).drop("_r")
 
 
 def admit(candidate: DataFrame, peers: DataFrame, most: float = 0.7) -> DataFrame:

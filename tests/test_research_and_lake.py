@@ -87,7 +87,52 @@ def test_double_sort_and_labels(spark):
     flat = R.quantile_labels(spark.createDataFrame([("d", i, 1.0) for i in range(10)], "date string, code int, x double"), "x", 5)
     assert {r.layer for r in flat.collect()} == {3}
     few = R.quantile_labels(spark.createDataFrame([("d", i, float(i)) for i in range(3)], "date string, code int, x double"), "x", 5)
-    assert sorted(r.layer for r in few.collect()) == [1, 2, 3]
+    assert sorted(r.layer for r in few.collect()) == [1, 3, 5]  # equal widths of the positions
+    one = R.quantile_labels(spark.createDataFrame([("d", 1, 7.0)], "date string, code int, x double"), "x", 5)
+    assert [r.layer for r in one.collect()] == [3]
+
+
+def test_risk_literals(spark):
+    def of(*returns, period=1):
+        df = spark.createDataFrame([("f", f"2024-01-{i + 1:02d}", x) for i, x in enumerate(returns)], "factor string, date string, ret double")
+        return R.risk(df, period=period).first()
+
+    r = of(0.1, -0.5, 0.2)
+    assert math.isclose(r.total, 1.1 * 0.5 * 1.2 - 1) and math.isclose(r.max_drawdown, 0.5) and math.isclose(r.annual, math.exp(math.log(0.66) / (3 / 252)) - 1)
+    broken = of(0.5, -1.5, 0.2)  # a return below -1: returns add up
+    assert math.isclose(broken.total, -0.8) and math.isclose(broken.annual, -0.8 / (3 / 252)) and math.isclose(broken.max_drawdown, 1.0)
+    first = of(-0.2, 0.1)  # the peak starts at the first value, not at 1
+    assert first.max_drawdown == 0 and first.fitness == 0 and first.annual == 0  # two days are under a hundredth of a year
+
+
+def test_turnover_of_members(spark):
+    rows = [("f", d, c, k, 0.0) for d, day in ((1, {"A": 1, "B": 1, "C": 5, "D": 5}), (2, {"A": 1, "B": 2, "C": 5, "E": 5}), (3, {"A": 3, "B": 3})) for c, k in day.items()]
+    got = R.membership_turnover(spark.createDataFrame(rows, "factor string, date int, code string, layer int, ret double")).orderBy("date").collect()
+    assert [(r.min_layer_turnover, r.max_layer_turnover, r.min_layer_count, r.max_layer_count) for r in got] == [(0.5, 0.5, 2, 2), (0.0, 1.0, 1, 2)]
+
+
+def test_orders(spark):
+    target = spark.createDataFrame([("A", 0.5, 10.0), ("B", 0.5, 20.0)], "code string, target_weight double, close double")
+    held = spark.createDataFrame([("C", 1000, 1000, 5.0, 1, 0, 0), ("D", 100, 0, 10.0, 1, 0, 0)], "code string, shares int, available int, last_price double, can_sell int, is_suspended int, is_limit_down_close int")
+    got = {r.code: r for r in G.rebalance(target, held, 100_000, 10_000, gross=1.0, cash_buffer=0.0).collect()}
+    assert (got["D"].side, got["D"].order_shares, got["D"].blocked_reason) == ("HOLD", 0, "blocked_sell:available_shares")
+    assert got["A"].target_value == 0.5 * 99_000 and (got["C"].side, got["C"].order_shares) == ("SELL", -1000)
+    # Purchases take the cash there is before the sale: 5000 each.
+    assert (got["A"].order_shares, got["B"].order_shares, got["B"].blocked_reason) == (500, 0, "small_order_filtered")
+
+
+def test_unreadable_files_are_errors(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    rows = spark.createDataFrame([("A", "2024-01-02", 1.0)], "code string, date string, v double").withColumn("date", F.col("date").cast("date"))
+    lake.upsert(spark, rows, path, ["code", "date"], "date")
+    (tmp_path / "t" / "year=2024" / "month=1" / "part-broken.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        lake.upsert(spark, rows.withColumn("v", F.lit(2.0)), path, ["code", "date"], "date")
+    (tmp_path / "t" / "year=2024" / "month=1" / "part-broken.parquet").unlink()
+    assert [r.v for r in spark.read.parquet(path).collect()] == [1.0]
+    tie = spark.createDataFrame([("A", 1, 2.0), ("A", 2, 1.0)], "code string, seq int, v double")
+    old = tie.where("false")
+    assert lake.merged(old, tie, ["code"]).first().seq == 2 and lake.merged(old, tie, ["code"], [F.col("v").desc()]).first().v == 2.0
 
 
 def test_p_values():
