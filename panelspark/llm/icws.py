@@ -231,7 +231,7 @@ def classes(rows: DataFrame, least: float, floor: float, block_runs: int, shard_
     return sig.select("doc_id", "digest"), items.select("id", "doc", "digest").join(linked, "id", "left").select("digest", F.coalesce("class", "doc").alias("class_id"), F.coalesce("first", F.lit(True)).alias("stays"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, floor: float = 0.0, block_runs: int = 400_000, shard_runs: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, floor: float = 0.0, block_runs: int = 250_000, shard_runs: int = 500_000) -> DataFrame:
     """(doc_id, class_id) of every row: the least id among the documents it is connected with.
 
     Documents are linked by a weighted Jaccard similarity of ``least`` or more.  A
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(of, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, floor: float = 0.0, block_runs: int = 400_000, shard_runs: int = 500_000) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, floor: float = 0.0, block_runs: int = 250_000, shard_runs: int = 500_000) -> DataFrame:
     """The rows of ``docs``, all columns, of one document of each class, once.
 
     Rows without an id and texts without a word are kept; of repeated rows of one

@@ -40,6 +40,7 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send texts to Python a thousand at a time: documents may be long, and several tasks share an executor's memory."""
+def short_batches(spark: SparkSession, rows: int = 1000, most: int = 4 << 20) -> None:
+    """Send texts to Python a thousand at a time, or so many bytes: documents may be long, and several tasks share an executor's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
