@@ -27,15 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import new_path
-from .text import SPACE, Texts, prefix_hash, process_cache, slices, span_hash, texts_of
+from .text import SPACE, Texts, give_back, prefix_hash, process_cache, slices, span_hash, texts_of
 
 END_ID = 2
 ALNUM, MARK = np.zeros(256, bool), np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 MARK[list(b".,;:!?")] = True
-#: Distinct pieces that a worker remembers before it starts anew, in a table twice as large: about 60 MB.
-REMEMBERED = 1_000_000
-SLOT_BITS = 21
+#: Distinct pieces that a worker remembers before it starts anew, in a table more than twice as large: about 25 MB.
+REMEMBERED = 400_000
+SLOT_BITS = 20
 
 
 class Encoder:
@@ -223,6 +223,7 @@ def crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.diff(first).astype(np.int64)
         crc = [zlib.crc32(flat[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
         yield pa.record_batch([b.column("doc_id"), b.column("part"), b.column("before"), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "part", "before", "n_tokens", "ids_crc32"])
+    give_back()
 
 
 def token_digests(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
