@@ -14,7 +14,9 @@ question or answer of fewer words is one run, looked for among runs of its lengt
 
 Scale: documents are read once and never shuffled.  An index is built from a
 bounded slice of the items (``index_chars``) and shipped to the tasks; more
-items mean more passes, not a larger index.
+items mean more passes, not a larger index.  Its statistics (segments, their mean
+length, document frequencies) are those of all items, so scores don't depend on
+how the items are sliced.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stored
 from .text import PUNCTUATION, U64, Texts, among, distinct, fold, mix, prefix_hash, slices, span_hash, texts_of, words_of
 
 SEGMENT = 32
@@ -53,6 +56,26 @@ def runs(h: np.ndarray, k: int = RUN) -> np.ndarray:
     return distinct(out)
 
 
+def pieces_of(texts: list):
+    """Word hashes, the segment of each, the segments of each text, and the texts' words."""
+    w, h = words(texts_of(pa.array(texts, pa.string())))
+    rank = np.arange(len(h)) - w.first[w.doc]
+    size = np.diff(w.first)
+    pieces = np.maximum(1, -(-size // SEGMENT))
+    start = np.concatenate([[0], np.cumsum(pieces)])
+    # Pieces of an item are about as long as each other: a short rest would match anything.
+    return h, start[w.doc] + rank // np.maximum(1, -(-size // pieces))[w.doc], pieces, w
+
+
+class Statistics(NamedTuple):
+    """Of all items: segments, their mean length, and the segments of each of the sorted words asked for."""
+
+    segments: int
+    length: float
+    term: np.ndarray
+    df: np.ndarray
+
+
 class Index(NamedTuple):
     items: list  # item ids
     vocab: np.ndarray  # sorted word hashes
@@ -70,23 +93,18 @@ class Index(NamedTuple):
     size: list  # words of each run of an item's question and answer: three, or all if there are fewer
 
     @classmethod
-    def of(cls, ids: list, texts: list) -> Index:
-        t = texts_of(pa.array(texts, pa.string()))
-        w, h = words(t)
-        rank = np.arange(len(h)) - w.first[w.doc]
-        size = np.diff(w.first)
-        pieces = np.maximum(1, -(-size // SEGMENT))
-        start = np.concatenate([[0], np.cumsum(pieces)])
-        # Pieces of an item are about as long as each other: a short rest would match anything.
-        segment = start[w.doc] + rank // np.maximum(1, -(-size // pieces))[w.doc]
-        n, item_of = int(start[-1]), np.repeat(np.arange(len(ids)), pieces)
+    def of(cls, ids: list, texts: list, whole: Statistics | None = None) -> Index:
+        h, segment, pieces, w = pieces_of(texts)
+        n, item_of = int(pieces.sum()), np.repeat(np.arange(len(ids)), pieces)
         vocab, term = np.unique(h, return_inverse=True)
         (pair, tf) = np.unique(term * max(n, 1) + segment, return_counts=True)
         term, seg = pair // max(n, 1), pair % max(n, 1)
-        df = np.bincount(term, minlength=len(vocab))
         length = np.bincount(segment, minlength=n).astype(float)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[seg] / max(length.mean() if n else 1, 1e-9)))
+        if whole is None:
+            whole = Statistics(n, length.mean() if n else 1.0, vocab, np.bincount(term, minlength=len(vocab)))
+        df = whole.df[np.searchsorted(whole.term, vocab)]
+        idf = np.log1p((whole.segments - df + 0.5) / (df + 0.5))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[seg] / max(whole.length, 1e-9)))
         impact = weight / np.maximum(np.bincount(seg, weight, minlength=n), 1e-12)[seg]
         first = np.searchsorted(term, np.arange(len(vocab) + 1))
         key, at = np.unique(term * (n // BLOCK_SEGMENTS + 1) + seg // BLOCK_SEGMENTS, return_index=True)
@@ -181,19 +199,46 @@ def search(t: Texts, index: Index, least: float, overlap: float):
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
+TERMS = "term long, segments long, words long"
+
+
+def term_counts(rows: DataFrame) -> DataFrame:
+    """(term, segments, words): segments of ``t`` that hold each word; the null term has all segments and words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "t"):
+            h, segment, pieces, _ = pieces_of(b.column("t").to_pylist())
+            n = int(pieces.sum())
+            vocab, term = np.unique(h, return_inverse=True)
+            df = np.bincount(distinct(term * max(n, 1) + segment) // max(n, 1), minlength=len(vocab))
+            terms = pa.concat_arrays([pa.array(vocab.view(np.int64)), pa.nulls(1, pa.int64())])
+            yield pa.record_batch([terms, pa.array(np.append(df, n)), pa.array(np.append(np.zeros(len(vocab), np.int64), len(h)))], [x.split()[0] for x in TERMS.split(", ")])
+
+    return rows.select("t").mapInArrow(count, TERMS)
+
+
 def indexes(items: DataFrame, id_col: str, text_col: str, index_chars: int) -> Iterator[Index]:
     """Indexes over bounded slices of the items, in the order of their ids."""
     rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null and i is not null").distinct()
     size = F.length("t") + 64
     total = rows.agg(F.sum(size)).first()[0] or 0
     if total <= index_chars:
-        parts = [rows.orderBy("i", "t").collect()] if total else []
-    else:
-        rows = rows.withColumn("slice", F.pmod(F.xxhash64("i", "t"), F.lit(int(-(-2 * total // index_chars)))))
-        parts = (rows.where(F.col("slice") == k).orderBy("i", "t").collect() for k in range(int(-(-2 * total // index_chars))))
-    for part in parts:
-        if part:
+        if total:
+            part = rows.orderBy("i", "t").collect()
             yield Index.of([r.i for r in part], [r.t for r in part])
+        return
+    n = int(-(-2 * total // index_chars))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
+    counts = stored(term_counts(rows).groupBy("term").agg(F.sum("segments").alias("segments"), F.sum("words").alias("words")), "decontam-terms")
+    every = counts.where("term is null").first()
+    for k in range(n):
+        part = rows.where(F.col("slice") == k).orderBy("i", "t").collect()
+        if part:
+            # Only this slice's words come to the driver.
+            found = counts.join(term_counts(rows.where(F.col("slice") == k)).select("term").distinct(), "term").select("term", "segments").toArrow()
+            term, df = (found.column(c).to_numpy().astype(np.int64) for c in ("term", "segments"))
+            order = np.argsort(term.view(U64))
+            yield Index.of([r.i for r in part], [r.t for r in part], Statistics(int(every.segments), every.words / every.segments, term.view(U64)[order], df[order]))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", least: float = 0.75, overlap: float = 0.6, index_chars: int = 32_000_000) -> DataFrame:
