@@ -107,11 +107,15 @@ def settle(p: np.ndarray, was: np.ndarray, size: np.ndarray, tries: int = 32) ->
     return p
 
 
-def sized(docs: DataFrame, keep: list[str], source_col: str, text_col: str, more: Callable | None = None, fields_more: Sequence[T.StructField] = ()) -> DataFrame:
-    """Kept columns with source, words and a hash that tells rows apart; ``more`` adds columns in the same pass."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(source_col).cast("string").alias("_mix_source"), *([] if text_col in keep else [F.col(text_col).cast("string").alias("_mix_text")]))
+def sized(docs: DataFrame, keep: list[str], source_col: str, text_col: str, more: Callable | None = None, fields_more: Sequence[T.StructField] = (), id_col: str = "doc_id") -> DataFrame:
+    """Kept columns with source, words and a hash of text and id; ``more`` adds columns in the same pass."""
+    extra = [] if text_col in keep else [F.col(text_col).cast("string").alias("_mix_text")]
+    if id_col in docs.columns:  # whole numbers as they are, other ids by their text
+        whole = isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        extra.append(F.col(f"`{id_col}`").cast("long" if whole else "string").alias("_mix_id"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(source_col).cast("string").alias("_mix_source"), *extra)
     name = text_col if text_col in keep else "_mix_text"  # the text is sent once, also if it is kept
-    fields = [f for f in rows.schema.fields if f.name != "_mix_text"]
+    fields = [f for f in rows.schema.fields if f.name not in ("_mix_text", "_mix_id")]
     schema = T.StructType([*fields, T.StructField("_mix_size", T.LongType()), T.StructField("_mix_hash", T.LongType())])
     names = [f.name for f in schema.fields]
 
@@ -125,8 +129,14 @@ def sized(docs: DataFrame, keep: list[str], source_col: str, text_col: str, more
             t = texts_of(b.column(name))
             n = np.diff(words_of(t).first)
             h = span_hash(prefix_hash(t.data), t.offsets[:-1], t.offsets[1:])
-            if "doc_id" in b.schema.names and pa.types.is_integer(b.schema.field("doc_id").type):
-                h = mix(h ^ b.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
+            if "_mix_id" in b.schema.names:
+                ids = b.column("_mix_id")
+                if pa.types.is_integer(ids.type):
+                    ids = ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
+                else:
+                    i = texts_of(ids)
+                    ids = span_hash(prefix_hash(i.data), i.offsets[:-1], i.offsets[1:])
+                h = mix(h ^ ids)
             again = np.zeros(len(h), U64)
             for i, x in enumerate(h.tolist()):
                 again[i] = seen[x]
@@ -140,11 +150,13 @@ def sized(docs: DataFrame, keep: list[str], source_col: str, text_col: str, more
     return rows.mapInArrow(count, T.StructType([*schema.fields, *fields_more]))
 
 
-def mix_sources(docs: DataFrame, *, keep: list[str] | None = None, source_col: str = "source", text_col: str = "text", weights: Sequence[float] = (5, 2, 1), most: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mix_sources(docs: DataFrame, *, keep: list[str] | None = None, source_col: str = "source", text_col: str = "text", weights: Sequence[float] = (5, 2, 1), most: int = 3, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id") -> DataFrame:
     """The kept columns (all by default) of every row, with size, source_size, target and copies.
 
     ``copies`` is how often the mix takes the row: 0 to ``most``.  Null text has no
     words and is a document like any other; null is a source of its own, the last.
+    Reruns agree, whatever the order of rows, where ``id_col`` and the text tell rows
+    apart (or rows that share both are equal).
     The result has columns ``_mix_size``, ``_mix_source_size``, ``_mix_target`` and
     ``_mix_copies``, names no input may use.
     """
@@ -169,7 +181,7 @@ def mix_sources(docs: DataFrame, *, keep: list[str] | None = None, source_col: s
         whole = np.floor(r)
         return pa.record_batch([*b.columns, block_of(b, counts, 0), pa.array(r - whole), pa.array(whole.astype(np.int64))], [*b.schema.names, *[f.name for f in added]])
 
-    rows = sized(docs, keep, source_col, text_col, start, added)
+    rows = sized(docs, keep, source_col, text_col, start, added, id_col)
     schema = rows.schema
     names = [f.name for f in schema.fields]
 
