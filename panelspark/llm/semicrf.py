@@ -1,13 +1,14 @@
 """Personal data: exact patterns, and a semi-Markov conditional random field that adds spans.
 
-The patterns give the base spans.  The field looks at the words near any digit
-or ``@``: a span of up to ``LONGEST`` words is scored as a whole (its shape, digit
+The patterns give the base spans.  The field looks at the words near a trigger: a
+digit, ``@``, a solid word of ``SOLID`` letters or more, or a value given to a name
+such as ``password`` (``NAMED``).  A span of up to ``LONGEST`` words is scored as a whole (its shape, digit
 count, check sum, octets, what stands around it), and dynamic programming over
 (end, length, type) chooses boundaries and types of a window together.  A span it
 finds stays only if it meets no base span.  It is trained here, by gradient
 ascent on the likelihood, on sentences made from templates; a span without a
-digit or ``@`` is never personal data to it, so text far from both is passed over
-and nothing is lost.
+trigger is never personal data to it, so names of people and postal addresses
+without a number aren't found, and text far from any trigger is passed over.
 
 One pass over the documents without a shuffle; the weights are a few thousand
 numbers.
@@ -15,7 +16,9 @@ numbers.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -31,8 +34,13 @@ from .text import slices, texts_of
 KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE_KINDS = KINDS[:4]
 LONGEST = 13
-#: Words of context around each digit or ``@``.
+#: Words of context around each trigger.
 AROUND = 16
+#: Letters from which a word without a digit may be a secret.
+SOLID = 16
+#: What stands before the value of a secret; in the bytes: an end of the name, at most a quote and a space, then ``:`` or ``=``.
+NAMES = ("key", "token", "secret", "password", "passwd", "pwd")
+NAMED = re.compile(rf"(?i)(?:{'|'.join(NAMES)})[\"']?[ ]?[:=][ ]?[\"']?$")
 
 AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -91,9 +99,38 @@ class Window(NamedTuple):
     trigger: list[bool]
 
 
+def triggers(text: str, words: list[tuple[int, int]]) -> list[bool]:
+    def one(a: int, b: int) -> bool:
+        s = text[a:b]
+        if any("0" <= c <= "9" or c == "@" for c in s):
+            return True
+        if not (s.isascii() and s.isalpha()):
+            return False
+        return b - a >= SOLID or (text[a - 1 : a] in (" ", ":", "=", '"', "'") and bool(NAMED.search(text, max(0, a - 16), a)))
+
+    return [one(a, b) for a, b in words]
+
+
 def window_of(text: str) -> Window:
     words = [m.span() for m in WORD.finditer(text)]
-    return Window(text, words, [any("0" <= c <= "9" or c == "@" for c in text[a:b]) for a, b in words])
+    return Window(text, words, triggers(text, words))
+
+
+def hot_bytes(data: np.ndarray) -> np.ndarray:
+    """Marks at least one byte of every text that holds a trigger."""
+    hot = ((data >= 48) & (data <= 57)) | (data == 64)
+    low = data | 32
+    run = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122), dtype=np.int32)])
+    hot[: max(0, len(data) - SOLID + 1)] |= run[SOLID:] - run[:-SOLID] == SOLID if len(data) >= SOLID else False
+    at = np.flatnonzero((data == 58) | (data == 61))
+    last = at - 1
+    for _ in range(2):  # a quote and a space
+        last = last - np.isin(data[last], (32, 34, 39))
+    at, last = at[last >= 2], last[last >= 2]
+    ends = np.isin(low[last], [ord(x[-1]) for x in NAMES])
+    for i, j in zip(at[ends].tolist(), last[ends].tolist()):
+        hot[i] |= data[max(0, j - 7) : j + 1].tobytes().lower().endswith(tuple(x.encode() for x in NAMES))
+    return hot
 
 
 def candidates(w: Window) -> list[tuple[int, int]]:
@@ -144,6 +181,11 @@ def features(w: Window, i: int, j: int) -> list[str]:
         mixed = bool(re.search("[0-9]", s)) + bool(re.search("[A-Za-z]", s))
         size = "16-31" if 16 <= len(s) < 32 else "32+" if len(s) >= 32 else "8-15" if len(s) >= 8 else "short"
         f += [f"solid {size} {mixed}", f"solid {size} {mixed} {'hex' if re.fullmatch('[0-9a-f]+', s) else 'upper' if s.upper() == s else 'other'}"]
+        if mixed == 1 and not n:
+            case = "upper" if s.isupper() else "lower" if s.islower() else f"mixed {min(len(s) // (1 + len(re.findall('[a-z][A-Z]', s))), 6)}"
+            f += [f"letters {size} {case}", f"letters {size} {case} given" if NAMED.search(w.text, max(0, a - 16), a) else f"letters {size} {case} free"]
+        if len(s) >= SOLID:
+            f += [f"starts {re.match('[A-Za-z]*_?', s)[0][:4]}"]
     return f
 
 
@@ -230,11 +272,13 @@ class Field:
         return self
 
 
-def examples(n: int = 360, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def examples(n: int = 600, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Marked sentences from templates: personal data in many spellings among numbers that are none."""
     r = random.Random(seed)
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice("abdeghilmnorstuvw") for _ in range(r.randint(2, 9)))
+    letters = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(k))
+    long = lambda: "".join(word() for _ in range(9))[: r.randint(16, 26)]
 
     def card() -> str:
         d = r.choice("3456") + digits(r.choice([13, 14, 14, 14]))
@@ -243,7 +287,9 @@ def examples(n: int = 360, seed: int = 11) -> list[tuple[str, list[tuple[str, in
 
     def secret() -> str:
         hexa = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
-        return r.choice([hexa(40), hexa(32), hexa(64), "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(15)) + r.choice("234567"), "sk_" + "".join(r.choice("ABCDEFGHabcdefgh0123456789") for _ in range(23)) + "7"])
+        upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        few = r.choice(["", "234567"])  # some have no digit
+        return r.choice([hexa(40), hexa(32), hexa(64), "AKIA" + "".join(r.choice(upper + few) for _ in range(16)), "sk_" + "".join(r.choice("ABCDEFGHabcdefgh" + few) for _ in range(24)), letters(r.randint(20, 40))])
 
     make = {
         "email": lambda: f"{word()}{r.choice(['.', '_', '', '.', '-'])}{r.choice([digits(2), word()])}@{word()}{r.choice(['', digits(1)])}.{r.choice(['example.com', 'org', 'net', 'co.uk'])}",
@@ -252,7 +298,7 @@ def examples(n: int = 360, seed: int = 11) -> list[tuple[str, list[tuple[str, in
         "phone": lambda: r.choice(["+1 ({}) {}-{}", "+1-{}-{}-{}", "({}) {}-{}", "{}-{}-{}", "+1 {} {} {}", "{}.{}.{}"]).format(digits(3), digits(3), digits(4)),
         "secret": secret,
     }
-    plain = [lambda: digits(r.randint(1, 6)), lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"${r.randint(1, 999)}.{digits(2)}", lambda: f"{r.randint(0, 23)}:{digits(2)}", lambda: f"v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", lambda: f"{r.randint(1, 99)},{digits(3)}", lambda: f"{r.randint(1, 31)}/{r.randint(1, 12)}/{r.randint(1990, 2030)}", lambda: f"{word()}{digits(2)}", lambda: f"{r.randint(1, 500)}.{digits(3)}", lambda: digits(r.randint(7, 12)), lambda: f"{digits(2)} {digits(3)} {word()}", lambda: f"{r.randint(1, 9)}.{r.randint(1, 9)}.{r.randint(1, 9)}.{r.randint(1, 9)}.{r.randint(1, 9)}", lambda: f"@{word()}"]
+    plain = [lambda: digits(r.randint(1, 6)), lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"${r.randint(1, 999)}.{digits(2)}", lambda: f"{r.randint(0, 23)}:{digits(2)}", lambda: f"v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", lambda: f"{r.randint(1, 99)},{digits(3)}", lambda: f"{r.randint(1, 31)}/{r.randint(1, 12)}/{r.randint(1990, 2030)}", lambda: f"{word()}{digits(2)}", lambda: f"{r.randint(1, 500)}.{digits(3)}", lambda: digits(r.randint(7, 12)), lambda: f"{digits(2)} {digits(3)} {word()}", lambda: f"{r.randint(1, 9)}.{r.randint(1, 9)}.{r.randint(1, 9)}.{r.randint(1, 9)}.{r.randint(1, 9)}", lambda: f"@{word()}", lambda: "".join(word().capitalize() for _ in range(r.randint(3, 6))), long, lambda: long().capitalize(), lambda: long().upper(), lambda: f"the {r.choice(NAMES)}{r.choice([':', ' ='])} {word()}"]
     out = []
     for _ in range(n):
         text, spans = "", []
@@ -263,6 +309,7 @@ def examples(n: int = 360, seed: int = 11) -> list[tuple[str, list[tuple[str, in
                 s = make[kind]()
                 if kind == "secret" and r.random() < 0.7:
                     text += r.choice(["key = ", "token: ", "secret=", "password = "])
+                    s = r.choice([s, s, s, letters(r.randint(12, 24)), long()])
                 quote = r.choice(["", "", '"']) if kind == "secret" else ""
                 text += quote
                 spans.append((kind, len(text), len(text) + len(s)))
@@ -275,9 +322,12 @@ def examples(n: int = 360, seed: int = 11) -> list[tuple[str, list[tuple[str, in
 
 
 def add_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> list[tuple[str, int, int]]:
-    """The field's spans that meet no base span.  It is run on windows around digits and ``@``."""
+    """The field's spans that meet no base span.  It is run on windows around the triggers."""
     words = [m.span() for m in WORD.finditer(text)]
-    hot = [k for k, (a, b) in enumerate(words) if any("0" <= c <= "9" or c == "@" for c in text[a:b])]
+    hot = [k for k, x in enumerate(triggers(text, words)) if x]
+    starts = sorted((s, e) for _, s, e in base)
+    # The furthest end so far: of all base spans that start before a place, whether one reaches it.
+    reach = list(itertools.accumulate((e for _, e in starts), max))
     out, k = [], 0
     while k < len(hot):
         first = last = hot[k]
@@ -286,16 +336,17 @@ def add_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> list
             k += 1
         a, b = words[max(0, first - AROUND)][0], words[min(len(words) - 1, last + AROUND)][1]
         for kind, x, y in field.decode(text[a:b]):
-            if not any(x + a < e and s < y + a for _, s, e in base):
+            before = bisect.bisect_left(starts, (y + a, 0))
+            if not before or reach[before - 1] <= x + a:
                 out.append((kind, x + a, y + a))
     return out
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string"
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, n_spans long, base_sha256 string, spans string"
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
-    """Per row: counts of base spans, the digest of the base spans, and all spans.
+    """Per row: counts of base spans, of added and of all spans, the digest of the base spans, and all spans.
 
     Offsets are code points, end exclusive.  Null text counts as empty; repeated
     rows are repeated; a null id stays null; other columns are ignored.
@@ -308,11 +359,10 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             t = texts_of(b.column("text"))
-            hot = ((t.data >= 48) & (t.data <= 57)) | (t.data == 64)
-            run = np.concatenate([[0], np.cumsum(hot)])
+            run = np.concatenate([[0], np.cumsum(hot_bytes(t.data))])
             hot = np.flatnonzero(run[t.offsets[1:]] > run[t.offsets[:-1]])
             n = len(t)
-            counts = np.zeros((5, n), np.int64)
+            counts = np.zeros((6, n), np.int64)
             sums, all_ = [none] * n, [""] * n
             for i in hot.tolist():
                 text = t.raw(i).decode()
@@ -320,7 +370,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 added = add_spans(text, base, field)
                 for k, _, _ in base:
                     counts[KINDS.index(k), i] += 1
-                counts[4, i] = len(added)
+                counts[4:, i] = len(added), len(base) + len(added)
                 sums[i] = hashlib.sha256(digest(base).encode()).hexdigest()
                 all_[i] = digest(base + added)
             yield pa.record_batch([b.column("doc_id"), *[pa.array(c) for c in counts], pa.array(sums), pa.array(all_)], names)
