@@ -40,7 +40,10 @@ AROUND = 16
 SOLID = 16
 #: What stands before the value of a secret; in the bytes: an end of the name, at most a quote and a space, then ``:`` or ``=``.
 NAMES = ("key", "token", "secret", "password", "passwd", "pwd")
+GIVEN = re.compile(rf"(?i)(?:{'|'.join(NAMES)})[\"']?[ ]?[:=][ ]?[\"']?(?=[a-z])")
 NAMED = re.compile(rf"(?i)(?:{'|'.join(NAMES)})[\"']?[ ]?[:=][ ]?[\"']?$")
+#: One match in each other trigger: its first digit or ``@``, or a solid word.
+MARK = re.compile(rf"[0-9@][0-9]*|(?<![A-Za-z0-9\u0080-\uffff])[A-Za-z]{{{SOLID},}}(?![A-Za-z0-9\u0080-\uffff])")
 
 AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -100,15 +103,14 @@ class Window(NamedTuple):
 
 
 def triggers(text: str, words: list[tuple[int, int]]) -> list[bool]:
-    def one(a: int, b: int) -> bool:
-        s = text[a:b]
-        if any("0" <= c <= "9" or c == "@" for c in s):
-            return True
-        if not (s.isascii() and s.isalpha()):
-            return False
-        return b - a >= SOLID or (text[a - 1 : a] in (" ", ":", "=", '"', "'") and bool(NAMED.search(text, max(0, a - 16), a)))
-
-    return [one(a, b) for a, b in words]
+    """Whether each word is a trigger."""
+    at = [m.start() for m in MARK.finditer(text)]
+    if ":" in text or "=" in text:
+        at += [m.end() for m in GIVEN.finditer(text)]
+    starts, out = [a for a, _ in words], [False] * len(words)
+    for x in at:
+        out[bisect.bisect_right(starts, x) - 1] = True
+    return out
 
 
 def window_of(text: str) -> Window:
