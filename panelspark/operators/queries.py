@@ -381,16 +381,16 @@ def res_best_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOP = """, tp AS (SELECT factor, date, code, ret, 1.0 / count(*) OVER (PARTITION BY factor, date) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY factor, date ORDER BY value DESC, code) AS rn FROM l WHERE value IS NOT NULL) WHERE rn <= 10),
 dy AS (SELECT factor, date, lead(date) OVER (PARTITION BY factor ORDER BY date) AS nd FROM (SELECT DISTINCT factor, date FROM tp)),
 dr AS (SELECT factor, nd AS date, code, weight * (1 + coalesce(ret, 0)) / sum(weight * (1 + coalesce(ret, 0))) OVER (PARTITION BY factor, date) AS od FROM tp JOIN dy USING (factor, date) WHERE nd IS NOT NULL),
-mv AS (SELECT factor, date, coalesce(weight, 0) * coalesce(ret, 0) AS gr, CASE WHEN date = min(date) OVER (PARTITION BY factor) THEN 0 ELSE coalesce(weight, 0) - coalesce(od, 0) END AS m FROM tp FULL JOIN dr USING (factor, date, code)),
-pf AS (SELECT factor, date, sum(gr) AS gross, sum(greatest(m, 0)) AS buy, sum(greatest(-m, 0)) AS sell FROM mv GROUP BY ALL),
-pn AS (SELECT *, (buy + sell) / 2 AS turnover, buy * 0.0003 + sell * 0.0008 AS cost, gross - buy * 0.0003 - sell * 0.0008 AS net FROM pf)"""
+mv AS (SELECT factor, date, weight, coalesce(weight, 0) * coalesce(ret, 0) AS gr, CASE WHEN date = min(date) OVER (PARTITION BY factor) THEN 0 ELSE coalesce(weight, 0) - coalesce(od, 0) END AS m FROM tp FULL JOIN dr USING (factor, date, code)),
+pf AS (SELECT factor, date, count(weight) AS holdings, sum(gr) AS gross, sum(greatest(m, 0)) AS buy, sum(greatest(-m, 0)) AS sell FROM mv GROUP BY ALL),
+pn AS (SELECT *, (buy + sell) / 2 AS turnover, buy * 0.0005641 + sell * 0.0010641 AS cost, gross - buy * 0.0005641 - sell * 0.0010641 AS net FROM pf)"""
 
 
 def top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.portfolio(R.top_n(long(spark, sf_dir), 10))
 
 
-@query(BASE + TOP + f" SELECT factor, date, {r6('gross')} AS gross, {r6('buy')} AS buy, {r6('sell')} AS sell, {r6('turnover')} AS turnover, {r6('cost')} AS cost, {r6('net')} AS net FROM pn")
+@query(BASE + TOP + f" SELECT factor, date, holdings, {r6('gross')} AS gross, {r6('buy')} AS buy, {r6('sell')} AS sell, {r6('turnover')} AS turnover, {r6('cost')} AS cost, {r6('net')} AS net FROM pn")
 def res_top_n_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top10(spark, sf_dir)
 
@@ -422,16 +422,99 @@ def res_constrained_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.constrained_portfolio(w.withColumns({"can_buy": C("code") % 7 != 0, "can_sell": C("code") % 5 != 0}))
 
 
-@query()
+LAYERS = BASE + LAYER + ", tp AS (SELECT factor || '|' || layer AS factor, date, code, ret, 1.0 / count(*) OVER (PARTITION BY factor, layer, date) AS weight FROM la)," + TOP[TOP.index("\ndy AS") :]
+
+
+@query(LAYERS + f" SELECT split_part(factor, '|', 1) AS factor, CAST(split_part(factor, '|', 2) AS INTEGER) AS layer, date, holdings, {r6('gross')} AS gross, {r6('buy')} AS buy, {r6('sell')} AS sell, {r6('turnover')} AS turnover, {r6('cost')} AS cost, {r6('net')} AS net FROM pn")
+def res_layer_portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.layer_portfolios(R.layers(long(spark, sf_dir), 5)).withColumn("layer", C("layer").cast("int"))
+
+
+@query(BASE + TOP + ", ts AS (SELECT factor, date, gross AS ret FROM pn)" + risk_sql("ts", "factor", "tr") + f" SELECT factor, {slog('total')} AS total, {slog('annual')} AS annual, {r6('vol')} AS vol, {slog('sharpe')} AS sharpe, {r6('max_drawdown')} AS max_drawdown, {slog('fitness')} AS fitness, {r6('return_sum')} AS return_sum, {r6('turnover_mean')} AS turnover_mean, {r6('holdings_mean')} AS holdings_mean FROM tr JOIN (SELECT factor, sum(gross) AS return_sum, avg(turnover) AS turnover_mean, avg(holdings) AS holdings_mean FROM pn GROUP BY factor) USING (factor)")
+def res_portfolio_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logarithmic(R.portfolio_summary(top10(spark, sf_dir)), "total", "annual", "sharpe", "fitness")
+
+
+def label_sql(out: str, source: str, value: str, by: list[str], name: str) -> str:
+    """A common table expression ``out``: the rows of ``source`` with their quarter of the values in a group."""
+    keys, mine = ", ".join(by), ", ".join(f"s.{x}" for x in by)
+    return f""", {out}0 AS (SELECT {keys}, quantile_cont({value}, [0, 0.25, 0.5, 0.75, 1]) AS e, count(*) AS n, min({value}) AS lo, max({value}) AS hi FROM {source} GROUP BY ALL),
+{out} AS (SELECT s.*, CAST(CASE WHEN n = 1 THEN 2 WHEN n < 4 THEN greatest(1, ceil((row_number() OVER (PARTITION BY {mine} ORDER BY code) - 1) * 4 / CAST(n - 1 AS DOUBLE)))
+ WHEN len(list_distinct(e)) = 5 THEN CASE WHEN {value} <= e[2] THEN 1 WHEN {value} <= e[3] THEN 2 WHEN {value} <= e[4] THEN 3 ELSE 4 END
+ WHEN lo = hi THEN 2 ELSE greatest(1, least(4, ceil(({value} - lo) / ((hi - lo) / 4)))) END AS INTEGER) AS {name} FROM {source} s JOIN {out}0 USING ({keys}))"""
+
+
+CELLS = BASE + ", d0 AS (SELECT * FROM br WHERE factor_a IS NOT NULL AND factor_b IS NOT NULL AND ret IS NOT NULL)" + label_sql("d1", "d0", "factor_a", ["date"], "control_group") + label_sql("d2", "d1", "factor_b", ["date", "control_group"], "factor_group") + ", ce AS (SELECT date, control_group, factor_group, avg(ret) AS ret, count(*) AS n FROM d2 GROUP BY ALL)"
+
+
+def sorted_twice(spark: SparkSession, sf_dir: str) -> tuple:
+    return R.future_return(base(spark, sf_dir), "pct"), "factor_a", "factor_b", "pct_1d", 4
+
+
+@query(CELLS + f" SELECT control_group, factor_group, {r6('avg(ret)')} AS ret, CAST(sum(n) AS BIGINT) AS n FROM ce GROUP BY ALL")
 def res_double_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.double_sort(R.future_return(base(spark, sf_dir), "pct"), "factor_a", "factor_b", "pct_1d", 3)
+    return R.double_sort(*sorted_twice(spark, sf_dir)).withColumns({c: C(c).cast("int") for c in ("control_group", "factor_group")})
 
 
-@query()
-def res_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+SPREAD = CELLS + f""", eg AS (SELECT date, min(factor_group) AS lo, max(factor_group) AS hi FROM ce GROUP BY date), ic AS (SELECT 'factor_b' AS factor, date, avg(CASE WHEN factor_group = hi THEN ret END) - avg(CASE WHEN factor_group = lo THEN ret END) AS ic FROM ce JOIN eg USING (date) GROUP BY date){NW},
+gr AS (SELECT date, factor_group, avg(ret) AS ret FROM ce GROUP BY ALL), gk AS (SELECT date, {rank_sql('factor_group', 'date')} AS a, {rank_sql('ret', 'date')} AS c FROM gr), gm AS (SELECT date, covar_samp(a, c) / (nullif(stddev_samp(a), 0) * nullif(stddev_samp(c), 0)) AS rho FROM gk GROUP BY date)"""
+
+
+@query(SPREAD + f" SELECT 'factor_b' AS factor, {r6('avg(ic)')} AS spread_mean, {r6('avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0 END)')} AS positive, {r6('avg(ic) * 252')} AS annual, {r6('(SELECT max(t) FROM nw)')} AS nw_t, {r6('(SELECT avg(rho) FROM gm)')} AS monotonicity, (SELECT min(n) FROM ce) AS least_cell, (SELECT CAST(sum(n) AS BIGINT) FROM ce) AS rows, (SELECT count(DISTINCT date) FROM ce) AS dates FROM ic")
+def res_double_sort_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.double_sort_summary(*sorted_twice(spark, sf_dir))
+
+
+LEGS = "CASE WHEN count(pct) OVER w = 5 THEN product(1 + pct) OVER w - 1 END AS r5"
+ROBUST = BASE[: BASE.index("\nl AS (")] + f""" r AS (SELECT *, {LEGS} FROM br WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
+l AS (""" + " UNION ALL ".join(f"SELECT date, code, '{f}|{p}' AS factor, {f} AS value, {x} AS ret FROM r" for f in ("factor_a", "factor_b") for p, x in ((1, "ret"), (5, "r5"))) + ")" + IC[len(BASE) :] + PNL + risk_sql("lsr", "factor", "rr") + """,
+rb AS (SELECT split_part(factor, '|', 1) AS factor, CAST(split_part(factor, '|', 2) AS INTEGER) AS period, ic_mean, ir, total FROM (SELECT factor, avg(ic) AS ic_mean, coalesce(avg(ic) / nullif(stddev_samp(ic), 0), 0) AS ir FROM ic GROUP BY factor) LEFT JOIN rr USING (factor))"""
+
+
+def robust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.robustness(base(spark, sf_dir), ["factor_a", "factor_b"], "pct", (1, 5))
 
 
+@query(ROBUST + f" SELECT factor, period, {r6('ic_mean')} AS ic_mean, {r6('ir')} AS ir, {slog('total')} AS total FROM rb")
+def res_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logarithmic(robust(spark, sf_dir), "total")
+
+
+@query(ROBUST + f", rs AS (SELECT *, sign(avg(ic_mean) OVER (PARTITION BY factor)) AS s FROM rb) SELECT factor, {r6('avg(CASE WHEN total > 0 THEN 1.0 WHEN total IS NOT NULL THEN 0 END)')} AS positive_ratio, {r6('avg(CASE WHEN s <> 0 AND ic_mean <> 0 THEN CASE WHEN sign(ic_mean) = s THEN 1.0 ELSE 0 END END)')} AS sign_consistency, {r6('quantile_cont(ir, 0.5)')} AS ir_median, count(DISTINCT period) AS periods FROM rs GROUP BY factor")
+def res_period_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.period_robustness(robust(spark, sf_dir))
+
+
+PHASES = [("train", "1992-01-01", "1994-12-31"), ("val", "1995-01-01", "1996-12-31"), ("test", "1997-01-01", "2099-12-31")]
+PHASED = "CASE " + " ".join(f"WHEN date BETWEEN DATE '{a}' AND DATE '{b}' THEN '{n}'" for n, a, b in PHASES) + " END"
+
+
+@query(BASE.replace("\nl AS (", "\nl0 AS (") + f", l AS (SELECT date, code, factor || '|' || {PHASED} AS factor, value, ret FROM l0 WHERE {PHASED} IS NOT NULL)" + DECAY[len(BASE) :] + f", de AS (SELECT factor, lag, avg(ic) AS ic FROM ic GROUP BY ALL), dz AS (SELECT factor, abs(ic) AS z FROM de WHERE lag = 0), dh AS (SELECT factor, min(CASE WHEN lag > 0 AND abs(ic) < z / 2 THEN lag END) AS half_life FROM de JOIN dz USING (factor) GROUP BY factor), dk AS (SELECT factor, {rank_sql('lag', 'factor')} AS a, {rank_sql('ic', 'factor')} AS c FROM de WHERE ic IS NOT NULL), dt AS (SELECT factor, covar_samp(a, c) / (nullif(stddev_samp(a), 0) * nullif(stddev_samp(c), 0)) AS rank_corr FROM dk GROUP BY factor) SELECT split_part(factor, '|', 1) AS factor, split_part(factor, '|', 2) AS phase, CAST(lag AS INTEGER) AS lag, {r6('ic')} AS ic, CAST(half_life AS INTEGER) AS half_life, {r6('rank_corr')} AS rank_corr FROM de LEFT JOIN dh USING (factor) LEFT JOIN dt USING (factor)")
+def res_phase_ic_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.phase_ic_decay(long(spark, sf_dir), PHASES, 3)
+
+
+SPLIT = IC + ", st AS (SELECT factor, CASE WHEN date <= DATE '1994-12-31' THEN 'train' WHEN date <= DATE '1996-12-31' THEN 'validation' ELSE 'oos' END AS split, ic AS ic_mean FROM ic)"
+
+
+@query(SPLIT + f", so AS (SELECT factor, " + ", ".join(f"count(*) FILTER (split = '{x}') AS {x}_obs, avg(ic_mean) FILTER (split = '{x}') AS {x}_score" for x in ("train", "validation", "oos")) + f" FROM st GROUP BY factor) SELECT factor, train_obs, validation_obs, oos_obs, {r6('train_score')} AS train_score, {r6('validation_score')} AS validation_score, {r6('oos_score')} AS oos_score, {r6('CASE WHEN train_score > 0 THEN validation_score / train_score END')} AS validation_decay_ratio, {r6('CASE WHEN train_score > 0 THEN oos_score / train_score END')} AS oos_decay_ratio, concat_ws('; ', CASE WHEN train_score IS NULL THEN 'missing_train_score' END, CASE WHEN validation_score IS NULL THEN 'missing_validation_score' END, CASE WHEN train_score * validation_score < 0 THEN 'validation_score_sign_flip' END) AS split_warning_reasons, coalesce(train_score * validation_score >= 0, false) AS split_pass FROM so")
+def res_split_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.when(C("date") <= F.lit("1994-12-31").cast("date"), "train").when(C("date") <= F.lit("1996-12-31").cast("date"), "validation").otherwise("oos")
+    t = R.daily_ic(long(spark, sf_dir)).select("factor", day.alias("split"), C("ic").alias("ic_mean"))
+    return R.split_metrics(t).drop("train_ic_mean_mean", "validation_ic_mean_mean", "oos_ic_mean_mean")
+
+
+@query(BASE + LAYER + f""", le AS (SELECT factor, min(layer) AS lo, max(layer) AS hi FROM la GROUP BY factor), ld AS (SELECT factor, date, avg(CASE WHEN layer = lo THEN ret END) AS x, avg(CASE WHEN layer = hi THEN ret END) AS y FROM la JOIN le USING (factor) GROUP BY ALL),
+lt AS (SELECT factor, date, (y - x) * CASE WHEN product(1 + x) OVER w > product(1 + y) OVER w THEN -1 ELSE 1 END AS d FROM ld WINDOW w AS (PARTITION BY factor)) SELECT a.factor AS a, b.factor AS b, {r6('corr(a.d, b.d)')} AS corr FROM lt a JOIN lt b ON a.date = b.date AND a.factor < b.factor GROUP BY ALL""")
+def res_long_short_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.long_short_correlations(R.layers(long(spark, sf_dir), 5))
+
+
+@query(IC + f", mi AS (SELECT factor, strftime(date, '%Y-%m') AS period, count(ic) AS n, avg(ic) AS mean, stddev_samp(ic) AS std FROM ic GROUP BY ALL) SELECT factor, period, n, {r6('mean')} AS mean, {r6('std')} AS std, {r6('mean / nullif(std, 0)')} AS ir FROM mi")
+def res_ic_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.ic_breakdown(R.daily_ic(long(spark, sf_dir)), "yyyy-MM")
+
+
 FR = ", fr AS (SELECT factor, date, covar_samp(CASE WHEN ret IS NOT NULL THEN value END, CASE WHEN value IS NOT NULL THEN ret END) / nullif(var_samp(CASE WHEN ret IS NOT NULL THEN value END), 0) AS slope FROM l GROUP BY ALL)"
 
 

@@ -190,3 +190,36 @@ def test_curation(spark):
     assert [r.x for r in share] == [0.65, 0.65]
     prices = spark.createDataFrame([("A", f"2024-01-0{i}", v, 1.0) for i, v in ((1, 1.0), (2, None), (3, 2.0))], "code string, date string, close double, adj_factor double")
     assert [r.ret_1d for r in K.adjusted(prices, ["close"]).orderBy("date").collect()] == [None, 0.0, 1.0]
+
+
+def test_costs_of_parts():
+    assert R.cost_rates() == pytest.approx({"buy": 5.641, "sell": 10.641})
+    assert R.cost_rates(["slippage", "stamp_tax"], commission=1.0) == pytest.approx({"buy": 1.641, "sell": 1.641})
+    with pytest.raises(ValueError):
+        R.cost_rates(["nosuch"])
+
+
+def test_first_date_is_charged_if_asked(spark):
+    w = spark.createDataFrame([("f", "2024-01-01", c, 0.5, 0.0) for c in (1, 2)] + [("f", "2024-01-02", c, 0.5, 0.1) for c in (2, 3)], "factor string, date string, code int, weight double, ret double")
+    got = {charge: [(x.buy, x.sell, x.holdings) for x in R.portfolio(w, charge_first=charge).orderBy("date").collect()] for charge in (False, True)}
+    assert got[False] == [(0.0, 0.0, 2), (0.5, 0.5, 2)] and got[True] == [(1.0, 0.0, 2), (0.5, 0.5, 2)]
+
+
+def test_phase_windows(spark):
+    splits = [("train", "2019-01-01", "2021-12-31"), ("val", "2022-01-01", "2022-12-31"), ("test", "2023-01-01", None)]
+    assert [x[0] for x in R.phase_windows(splits, "2021-06-30")] == ["train"]
+    assert R.phase_windows(splits, "2023-05-01")[2] == ("test", "2023-01-01", "2023-05-01")
+    assert [x[0] for x in R.phase_windows(splits, include_test=False)] == ["train", "val"]
+    days = spark.createDataFrame([("2018-01-01",), ("2021-12-31",), ("2030-01-01",)], "d string").select(R.phase(F.col("d").cast("date"), splits).alias("p"))
+    assert [x.p for x in days.collect()] == [None, "train", "test"]
+
+
+def test_split_metrics_warnings(spark):
+    t = spark.createDataFrame([("a", "train", 2.0), ("a", "validation", -1.0), ("b", "oos", 1.0), ("c", "train", 2.0), ("c", "validation", 1.0), ("c", "oos", None), ("d", "train", -1.0), ("d", "validation", -2.0)], "factor string, split string, ir double")
+    got = {x.factor: x for x in R.split_metrics(t).collect()}
+    assert got["a"].split_warning_reasons == "validation_score_sign_flip" and got["a"].validation_decay_ratio == -0.5
+    assert got["b"].split_warning_reasons == "missing_train_score; missing_validation_score" and not got["b"].split_pass
+    assert got["c"].split_pass and got["c"].validation_decay_ratio == 0.5 and got["c"].oos_obs == 1 and got["c"].oos_score is None
+    assert got["d"].split_pass and got["d"].validation_decay_ratio is None
+    with pytest.raises(ValueError):
+        R.split_metrics(t, ["nosuch"])
