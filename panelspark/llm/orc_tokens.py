@@ -187,7 +187,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, before, part = encoder(tokenizer), 0, TaskContext.get().partitionId()
-        for b in slices(batches):
+        for b in slices(batches, keeps="encoder"):
             ids, first = e.encode(texts_of(b.column("text")))
             n = b.num_rows
             yield pa.record_batch([b.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(before + first[:-1]), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))], ["doc_id", "part", "before", "n_tokens", "ids"])

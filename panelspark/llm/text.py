@@ -45,7 +45,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def process_cache() -> dict:
-    """What a worker process keeps from task to task; it is not shipped with functions."""
+    """What a worker process keeps from task to task; it is not shipped with functions.
+
+    An entry under a pair is one operator's own, named first: ``slices`` drops it when another operator begins.
+    """
     return sys.__dict__.setdefault("_panelspark_cache", {})
 
 
@@ -87,10 +90,18 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(data[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches of at most so many bytes of text (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, keeps: str = "") -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches of at most so many bytes of text (one row at least).
+
+    Workers are used again by later stages: what they keep of operators other than ``keeps`` is dropped first.
+    """
     import pyarrow.compute as pc
 
+    cache = process_cache()
+    if others := [k for k in cache if isinstance(k, tuple) and k[0] != keeps]:
+        for k in others:
+            del cache[k]
+        give_back()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -551,3 +551,13 @@ def test_mix_of_named_ids(spark):
         d = spark.createDataFrame(rows[::k] + (rows[1::2] if k == 2 else []), "name string, text string, source string").repartition(3 * k)
         taken.append({x["name"]: x["_mix_copies"] for x in cube.mix_sources(d, id_col="name", block_rows=64).collect()})
     assert taken[0] == taken[1] and len(taken[0]) == 300
+
+
+def test_workers_keep_one_operators_things():
+    cache = X.process_cache()
+    cache["encoder", "x"] = cache["other", "y"] = [0]
+    b = pa.record_batch([pa.array(["a"])], ["text"])
+    assert [x.num_rows for x in X.slices(iter([b]), keeps="encoder")] == [1]
+    assert ("encoder", "x") in cache and ("other", "y") not in cache
+    list(X.slices(iter([b])))
+    assert ("encoder", "x") not in cache
