@@ -33,6 +33,8 @@ END_ID = 2
 ALNUM, MARK = np.zeros(256, bool), np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 MARK[list(b".,;:!?")] = True
+#: Text encoded at once; several numbers a byte are held meanwhile.
+ENCODE_BYTES = 1 << 19
 #: Distinct pieces that a worker remembers before it starts anew, in a table more than twice as large: about 25 MB.
 REMEMBERED = 400_000
 SLOT_BITS = 20
@@ -48,6 +50,8 @@ class Encoder:
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token: a character stands for a byte
         for word, i in vocab.items():
             self.size[i] = len(word)
+        del vocab
+        give_back()
         split = self.tok.pre_tokenizer
         self.cuts = self.tok.normalizer is None and isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
@@ -187,7 +191,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, before, part = encoder(tokenizer), 0, TaskContext.get().partitionId()
-        for b in slices(batches, keeps="encoder"):
+        for b in slices(batches, most=ENCODE_BYTES, keeps="encoder"):
             ids, first = e.encode(texts_of(b.column("text")))
             n = b.num_rows
             yield pa.record_batch([b.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(before + first[:-1]), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))], ["doc_id", "part", "before", "n_tokens", "ids"])
