@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import new_path
-from .text import SPACE, Texts, give_back, prefix_hash, process_cache, slices, span_hash, texts_of
+from .text import SPACE, Texts, drop_kept, give_back, prefix_hash, process_cache, slices, span_hash, texts_of
 
 END_ID = 2
 ALNUM, MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -221,6 +221,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unsigned CRC-32 of each row's ids as little-endian unsigned 32-bit integers."""
+    drop_kept()  # the encoder: reading needs none
     for b in batches:
         ids = b.column("ids")
         first, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")

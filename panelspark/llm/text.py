@@ -53,12 +53,15 @@ def process_cache() -> dict:
 
 
 def powers(n: int) -> np.ndarray:
-    """Powers of BASE modulo 2**64, up to n at least."""
+    """Powers of BASE modulo 2**64, up to n at least; a worker keeps those that a slice needs, not those of a longer text."""
     cache = process_cache()
-    if len(cache.get("powers", ())) <= n:
+    if n > SLICE_BYTES or "powers" not in cache:
         t = np.full(max(n, SLICE_BYTES) + 1, BASE, U64)
         t[0] = 1
-        cache["powers"] = np.multiply.accumulate(t)
+        np.multiply.accumulate(t, out=t)
+        if n > SLICE_BYTES:
+            return t
+        cache["powers"] = t
     return cache["powers"]
 
 
@@ -97,11 +100,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
     """
     import pyarrow.compute as pc
 
-    cache = process_cache()
-    if others := [k for k in cache if isinstance(k, tuple) and k[0] != keeps]:
-        for k in others:
-            del cache[k]
-        give_back()
+    drop_kept(keeps)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -115,6 +114,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
     give_back()
 
 
+def drop_kept(keeps: str = "") -> None:
+    """Drop what this worker keeps of operators other than ``keeps``."""
+    cache = process_cache()
+    if others := [k for k in cache if isinstance(k, tuple) and k[0] != keeps]:
+        for k in others:
+            del cache[k]
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system: idle workers share an executor's limit with those at work."""
     import ctypes
