@@ -219,7 +219,8 @@ def group(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Calla
     links = verify(first)
     if twins is not None:
         links = links.unionByName(twins(member.select("id").distinct()))
-    comp = stored(components(links), "components")
+    # Stored first: a task that compares and settles at once would keep two Python workers.
+    comp = stored(components(stored(links, "verified")), "components")
 
     # Buckets that hold several components; of those with the same items one.
     state = member.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
