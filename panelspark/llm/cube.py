@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import stored
+from .storage import small_table, stored
 from .text import U64, give_back, mix, slices, texts_of, words_of
 
 BLOCK_ROWS = 4000
@@ -228,7 +228,7 @@ def mix_sources(docs: DataFrame, *, keep: list[str] | None = None, source_col: s
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    table = out.sparkSession.createDataFrame([(s, sizes[s], float(wanted[s])) for s in sizes], "s string, _mix_source_size long, _mix_target double")
+    table = small_table(out.sparkSession, [(s, sizes[s], float(wanted[s])) for s in sizes], [("s", pa.string()), ("_mix_source_size", pa.int64()), ("_mix_target", pa.float64())])
     return out.join(F.broadcast(table), F.col("_mix_source").eqNullSafe(F.col("s"))).select(*[F.col(f"`{c}`") for c in keep], "_mix_size", "_mix_source_size", "_mix_target", "_mix_copies")
 
 

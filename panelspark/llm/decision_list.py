@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import small_table
 from .text import SPACE, U64, Texts, mix, per_doc, prefix_hash, shingle_hashes, slices, span_hash, texts_of, words_of
 
 #: Characters that count as symbols.
@@ -220,7 +221,7 @@ def learn_from(docs: DataFrame, labels: DataFrame, *, most_rows: int = 8000, id_
     if not rows:
         return []
     # At most ``most_rows`` pairs of numbers: small enough to send whatever the size of the corpus.
-    table = labels.sparkSession.createDataFrame([(r["_id"], r["_bad"]) for r in rows], "_id long, _bad int")
+    table = small_table(labels.sparkSession, [(r["_id"], r["_bad"]) for r in rows], [("_id", pa.int64()), ("_bad", pa.int32())])
     chosen = docs.join(F.broadcast(table), F.col(f"`{id_col}`").cast("long") == F.col("_id")).select(F.col("_id").alias("_stats_id"), F.col("_bad").alias("_stats_bad"), F.col(f"`{text_col}`").alias("_t"))
     got = with_statistics(chosen, ["_stats_id", "_stats_bad"], "_t").select("_stats_id", "_stats_bad", "_stats.*").toPandas()
     got = got.drop_duplicates("_stats_id").sort_values("_stats_id")

@@ -22,6 +22,7 @@ how the items are sliced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import small_table, stored
 from .text import PUNCTUATION, U64, Texts, among, distinct, fold, mix, prefix_hash, slices, span_hash, texts_of, words_of
 
 SEGMENT = 32
@@ -250,7 +251,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
     word neither; a repeated row gives its pairs again, and a null id stays null.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.sparkSession.createDataFrame([], FOUND)
+    parts = []
     for index in indexes(items, item_id_col, item_text_col, index_chars):
 
         def find(batches, index=index):
@@ -259,8 +260,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
                 if len(d):
                     yield pa.record_batch([b.column("doc_id").take(pa.array(d.astype(np.int64))), pa.array([index.items[int(x)] for x in i], pa.int64()), pa.array(s, pa.float64()), pa.array(q, pa.float64()), pa.array(a, pa.float64())], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        out = out.unionByName(rows.mapInArrow(find, FOUND))
-    return out
+        parts.append(rows.mapInArrow(find, FOUND))
+    if not parts:  # no items
+        return small_table(rows.sparkSession, [], [(c.split()[0], {"long": pa.int64(), "double": pa.float64()}[c.split()[1]]) for c in FOUND.split(", ")])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", least: float = 0.75, overlap: float = 0.6, index_chars: int = 32_000_000) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path
+from .storage import new_path, small_table
 from .text import SPACE, Texts, drop_kept, give_back, prefix_hash, process_cache, slices, span_hash, texts_of
 
 END_ID = 2
@@ -209,7 +209,7 @@ def in_stream(rows: DataFrame, files: DataFrame) -> DataFrame:
     for r in sorted(totals, key=lambda r: r.part):
         starts.append((r.part, at))
         at += r.n
-    parts = rows.sparkSession.createDataFrame(starts, "part int, part_start long")
+    parts = small_table(rows.sparkSession, starts, [("part", pa.int32()), ("part_start", pa.int64())])
     return rows.join(parts, "part").withColumn("start", F.col("part_start") + F.col("before")).drop("part", "part_start", "before")
 
 

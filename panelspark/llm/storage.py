@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,6 +29,12 @@ def stored(df: DataFrame, name: str = "table", fmt: str = "parquet", **options:
     return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
 
 
+def small_table(spark: SparkSession, rows: Iterable[Sequence], columns: Sequence[tuple[str, pa.DataType]]) -> DataFrame:
+    """A few rows of the driver as a local relation: from a list Spark would start Python workers on the executors."""
+    values = list(zip(*rows)) or [()] * len(columns)
+    return spark.createDataFrame(pa.table({name: pa.array(v, t) for (name, t), v in zip(columns, values)}))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/panelspark/{name}-{uuid.uuid4().hex}"
 
