@@ -35,9 +35,9 @@ ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 MARK[list(b".,;:!?")] = True
 #: Text encoded at once; several numbers a byte are held meanwhile.
 ENCODE_BYTES = 1 << 19
-#: Distinct pieces that a worker remembers before it starts anew, in a table more than twice as large: about 25 MB.
-REMEMBERED = 400_000
-SLOT_BITS = 20
+#: Distinct pieces that a worker remembers before it starts anew, in a table more than twice as large: about 50 MB.
+REMEMBERED = 800_000
+SLOT_BITS = 21
 
 
 class Encoder:
