@@ -88,10 +88,11 @@ def capped(df: DataFrame, cap: float, by: list[Column], weight: Column, target:
     where k is the least for which the next one, scaled to what is left, stays
     under it.  Weights of 0 share equally what positive ones cannot take.
     """
-    order = [weight.desc(), F.col(CODE)]
     w = Window.partitionBy(*by)
-    down = w.orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    df = df.withColumns({"_w": weight, "_n": F.count(weight).over(w), "_k": F.row_number().over(w.orderBy(*order)) - 1, "_tail": F.sum(weight).over(down)})
+    # Summed from the least up: a frame that ends at the last row is summed anew for each row, in the square of a date's codes.
+    up = w.orderBy(weight.asc(), F.col(CODE).desc())
+    tail = F.sum(weight).over(up.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumns({"_w": weight, "_n": F.count(weight).over(w), "_k": F.count(F.lit(1)).over(w) - F.row_number().over(up), "_tail": tail})
     df = df.withColumn("_t", F.least(target, V("_n") * cap))
     df = df.withColumn("_rate", F.try_divide(V("_t") - V("_k") * cap, nonzero(V("_tail"))))
     fits = V("_rate").isNotNull() & (V("_rate") * V("_w") <= cap + 1e-12)

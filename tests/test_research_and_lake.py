@@ -53,6 +53,14 @@ def test_capped_weights_keep_cap_and_sum(spark):
         S.truncate_long_short(scaled, 2.0)
 
 
+def test_capped_weights_sum_no_frame_anew_for_each_row(spark):
+    df = spark.createDataFrame([("2024-01-01", c, (c % 7 - 3) / 10.0 if c % 5 else None) for c in range(40)], "date string, code int, value double")
+    for f in (S.truncate_capped, S.truncate_long_short):
+        plan = f(df, 0.2)._jdf.queryExecution().executedPlan().toString()
+        assert "unboundedpreceding$(), currentrow$()" in plan
+        assert "currentrow$(), unboundedfollowing$()" not in plan  # costs the square of a date's codes
+
+
 def test_simulation_chain(spark):
     out = Q.sim_chain(spark, SF)
     day = out.groupBy("date").agg(F.sum(F.abs("value")).alias("s"), F.max(F.abs("value")).alias("m"))
