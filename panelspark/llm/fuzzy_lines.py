@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .neardup import KEY_BITS, Sets, group, sieve, sifted
 from .storage import stored
-from .text import SPACE, U64, Texts, mix, prefix_hash, slices, span_hash, texts_of
+from .text import LOWER, SPACE, U64, Texts, distinct, mix, prefix_hash, slices, span_hash, texts_of
 
 
 class Kind(NamedTuple):
@@ -49,6 +49,8 @@ SHORT, LONG = KINDS = Kind(4, 20, 6), Kind(8, 12, 4)
 BELOW, FROM = 80, 64
 #: Long lines of fewer runs than this get a hash function for each value.
 FEW_RUNS = 96
+#: Characters worked on at once: the arrays of so many stay in a core's cache.
+BLOCK = 1 << 15
 #: Fixed odd multipliers of the hash functions and of the characters of a run, from a counter.
 MULTIPLIERS = mix(np.arange(1, SHORT.values + 1, dtype=U64)) | U64(1)
 PLACES = mix(np.arange(1000, 1004, dtype=U64)) | U64(1)
@@ -63,28 +65,41 @@ def lines_of(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     end = np.sort(np.concatenate([t.offsets[1:], breaks]))
     doc = np.repeat(np.arange(len(t)), 1 + np.diff(np.searchsorted(breaks, t.offsets)))
     number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    filled = np.concatenate([[0], np.cumsum(~SPACE[t.data])])
-    live = filled[end] > filled[start]
+    live = end > start
+    live[live] = ~SPACE[t.data[start[live]]]
+    # Most lines begin with a word; of the others all bytes are looked at.
+    rest = np.flatnonzero((end > start) & ~live)
+    n = end[rest] - start[rest]
+    at = np.arange(int(n.sum())) + np.repeat(start[rest] - (np.cumsum(n) - n), n)
+    live[np.repeat(rest, n)[~SPACE[t.data[at]]]] = True
     return start[live], end[live], doc[live], number[live]
 
 
-def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The code points, A-Z lower-cased, and how many stand before each byte (one more for the end)."""
-    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-    points = points + np.where((points >= 65) & (points <= 90), np.uint32(32), np.uint32(0))
-    return points, np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+def characters(data: np.ndarray) -> np.ndarray:
+    """The code points, A-Z lower-cased."""
+    return np.frombuffer(LOWER[data].tobytes().decode().encode("utf-32-le"), np.uint32)
+
+
+def places(data: np.ndarray, *at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """How many characters stand before some bytes."""
+    inner = np.flatnonzero((data & 0xC0) == 0x80)
+    return tuple(a - np.searchsorted(inner, a) for a in at)
 
 
 def run_hashes(points: np.ndarray, size: int) -> np.ndarray:
     """For each place the hash of the ``size`` characters from there on (zeros after the end)."""
-    n = len(points)
-    pair = np.zeros(n + size, U64)
-    pair[:n] = points
-    pair[: n - 1] |= points[1:].astype(U64) << U64(21)
-    h = pair[:n] * PLACES[0]
-    for k in range(2, size, 2):
-        h += pair[k : k + n] * PLACES[k // 2]
-    return scattered(h)
+    out = np.empty(len(points), U64)
+    for a in range(0, len(points), BLOCK):
+        part = points[a : a + BLOCK + size - 1]
+        h = out[a : a + BLOCK]
+        pair = np.zeros(len(h) + size, U64)
+        pair[: len(part)] = part
+        pair[: len(part) - 1] |= part[1:].astype(U64) << U64(21)
+        np.multiply(pair[: len(h)], PLACES[0], out=h)
+        for k in range(2, size, 2):
+            h += pair[k : k + len(h)] * PLACES[k // 2]
+        scattered(h)
+    return out
 
 
 def scattered(h: np.ndarray) -> np.ndarray:
@@ -104,29 +119,49 @@ def runs(points: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndar
     return line, x
 
 
+def blocks(points: np.ndarray, start: np.ndarray, end: np.ndarray, rows: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Some lines, in order, a block of characters at a time (one line at least): (their rows, line within these, hash of each run)."""
+    ends = np.cumsum(end[rows] - start[rows])
+    a = 0
+    while a < len(rows):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK, "right")))
+        some = rows[a:b]
+        x, y = start[some], end[some]
+        text = points[x[0] : y[-1]]
+        x, y = x - x[0], y - x[0]
+        n = y - x
+        if 2 * int(n.sum()) < len(text):  # what stands between them is left out
+            to = np.cumsum(n)
+            text = text[np.arange(int(to[-1])) + np.repeat(x - (to - n), n)]
+            x, y = to - n, to
+        yield some, *runs(text, run_hashes(text, size), x, y, size)
+        a = b
+
+
 def signatures(points: np.ndarray, start: np.ndarray, end: np.ndarray, kind: Kind) -> np.ndarray:
     """The MinHash values (32 bits) of each line."""
     out = np.full((len(start), kind.values), np.iinfo(np.uint32).max, np.uint32)
     if not len(start):
         return out
-    hashes = run_hashes(points, kind.size)
     few = (end - start) < FEW_RUNS + kind.size if kind is LONG else np.ones(len(start), bool)
     for many in (False, True):
-        rows = np.flatnonzero(few != many)
-        for a in range(0, len(rows), 1024):
-            some = rows[a : a + 1024]
-            line, x = runs(points, hashes, start[some], end[some], kind.size)
+        for some, line, x in blocks(points, start, end, np.flatnonzero(few != many), kind.size):
             if many:
                 part = np.full(len(some) * kind.values, np.iinfo(np.uint32).max, np.uint32)
                 value = (x >> U64(32)).astype(np.uint32)
                 place = (((x & U64(0xFFFFFFFF)) * U64(kind.values)) >> U64(32)).astype(np.int64)
                 place += line.astype(np.int64) * kind.values
                 np.minimum.at(part, place, value)
-                out[some] = borrowed(part.reshape(-1, kind.values))
+                out[some] = part.reshape(-1, kind.values)
             else:
                 first = np.searchsorted(line, np.arange(len(some)))
+                part, product = np.empty((kind.values, len(some)), U64), np.empty_like(x)
                 for k in range(kind.values):
-                    out[some, k] = np.minimum.reduceat(((x * MULTIPLIERS[k]) >> U64(32)).astype(np.uint32), first)
+                    np.multiply(x, MULTIPLIERS[k], out=product)
+                    np.minimum.reduceat(product, first, out=part[k])
+                out[some] = (part.T >> U64(32)).astype(np.uint32)
+    if kind is LONG and not few.all():
+        out[~few] = borrowed(out[~few])
     return out
 
 
@@ -153,11 +188,15 @@ def bands(points: np.ndarray, start: np.ndarray, end: np.ndarray, kind: Kind) ->
     return h
 
 
-def identified(t: Texts, start: np.ndarray, end: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The id of each line (of its short kind, if it has both) and whether it is short, and long."""
-    size = points[end] - points[start]
+def identified(t: Texts, start: np.ndarray, end: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The id of each line (of its short kind, if it has both), from its characters' number too, and whether it is short, and long."""
     short, long = size < BELOW, size >= FROM
-    digest = span_hash(prefix_hash(t.data), start, end) & ~U64(KIND_BIT | TWIN_BIT)
+    digest = np.empty(len(start), U64)
+    cuts = np.searchsorted(start, np.arange(0, len(t.data) + BLOCK, BLOCK)).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if a < b:
+            digest[a:b] = span_hash(prefix_hash(t.data[start[a] : end[b - 1]]), start[a:b] - start[a], end[a:b] - start[a])
+    digest &= ~U64(KIND_BIT | TWIN_BIT)
     digest |= np.where(short & long, U64(TWIN_BIT), np.where(long, U64(KIND_BIT), U64(0)))
     return digest.view(np.int64), short, long
 
@@ -172,11 +211,11 @@ def signed(rows: DataFrame) -> DataFrame:
         for b in slices(batches):
             t = texts_of(b.column("text"))
             start, end, doc, number = lines_of(t)
-            text, before = characters(t.data)
-            ids, short, long = identified(t, start, end, before)
+            text = characters(t.data)
+            x, y = places(t.data, start, end)
+            ids, short, long = identified(t, start, end, y - x)
             first = np.zeros(len(ids), bool)
             first[np.unique(ids, return_index=True)[1]] = True
-            x, y = before[start], before[end]
             low, high = np.flatnonzero(first & short), np.flatnonzero(first & long)
             single, twin = high[~short[high]], high[short[high]]
             lower, upper = bands(text, x[low], y[low], SHORT), bands(text, x[high], y[high], LONG)
@@ -203,17 +242,19 @@ MARKS = (b"s", b"l")
 def sets(column: pa.Array) -> Sets:
     """The sets of runs of marked lines."""
     t = texts_of(column)
-    text, before = characters(t.data)
-    start, end = before[t.offsets[:-1]] + 1, before[t.offsets[1:]]
+    text = characters(t.data)
+    start, end = places(t.data, t.offsets[:-1], t.offsets[1:])
+    start = start + 1
     is_long = t.data[t.offsets[:-1]] == MARKS[1][0] if len(t) else np.zeros(0, bool)
     keys = [np.zeros(0, U64)]
     for kind, rows in ((SHORT, np.flatnonzero(~is_long)), (LONG, np.flatnonzero(is_long))):
-        if len(rows):
-            line, x = runs(text, run_hashes(text, kind.size), start[rows], end[rows], kind.size)
-            keys.append((rows[line].astype(U64) << U64(KEY_BITS)) | (x >> U64(64 - KEY_BITS)))
-    key = np.sort(np.concatenate(keys))
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    return Sets((key >> U64(KEY_BITS)).astype(np.int64), key & U64((1 << KEY_BITS) - 1), np.ones(len(key), np.int64), np.ones(len(key)))
+        for some, line, x in blocks(text, start, end, rows, kind.size):
+            # Lines come in order: a block is sorted alone.
+            keys.append(distinct((some[line].astype(U64) << U64(KEY_BITS)) | (x >> U64(64 - KEY_BITS))))
+    key = np.concatenate(keys)
+    if is_long.any() and not is_long.all():
+        key.sort()
+    return Sets((key >> U64(KEY_BITS)).astype(np.int64), key & U64((1 << KEY_BITS) - 1), np.broadcast_to(np.int64(1), len(key)), np.broadcast_to(1.0, len(key)))
 
 
 def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
@@ -236,8 +277,8 @@ def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for b in slices(batches):
                 t = texts_of(b.column("text"))
                 start, end, _, _ = lines_of(t)
-                size = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])
-                digest, _, _ = identified(t, start, end, size)
+                x, y = places(t.data, start, end)
+                digest, _, _ = identified(t, start, end, y - x)
                 some = np.flatnonzero(sifted(digest >> 2, wanted))
                 some = some[np.unique(digest[some], return_index=True)[1]]
                 raw = t.data.tobytes()

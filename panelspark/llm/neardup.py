@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .exchange import U64, deal, pack, unpack
 from .storage import stored
-from .text import among, give_back, slices
+from .text import give_back, slices
 
 BLOCK_KEYS = 2_000_000
 #: A larger bucket is cut into parts of so many items; a task compares two parts.
@@ -38,6 +38,9 @@ FEW = 32
 #: Bytes of text that a task compares at once, unless a cell has more.
 CELL_BYTES = 2 << 20
 KEY_BITS = 44
+#: Bits that tell most unlike sets apart before they are compared, and how many pairs (or items) are looked at so at once.
+SKETCH_BITS = 1024
+PAIRS = 4096
 STARS = "bucket long, a long, b long"
 
 
@@ -241,7 +244,8 @@ class Compared:
 
     def __init__(self, s: Sets, n: int):
         self.sets = s
-        self.weight = s.count * s.unit
+        self.plain = bool((s.count == 1).all() and (s.unit == 1).all())
+        self.weight = s.unit if self.plain else s.count * s.unit
         self.total = np.bincount(s.item, self.weight, minlength=n)
         self.first = np.searchsorted(s.item, np.arange(n + 1))
         self.full = (s.item.astype(U64) << U64(KEY_BITS)) | s.key
@@ -255,8 +259,9 @@ class Compared:
             pair = np.repeat(np.arange(len(z)), n)
             at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[i[z]], n)
             key = (j[z][pair].astype(U64) << U64(KEY_BITS)) | self.sets.key[at]
-            hit = np.flatnonzero(among(key, self.full))
-            both = np.minimum(self.weight[at[hit]], self.weight[np.searchsorted(self.full, key[hit])])
+            found = np.minimum(np.searchsorted(self.full, key), len(self.full) - 1)
+            hit = np.flatnonzero(self.full[found] == key)
+            both = np.minimum(self.weight[at[hit]], self.weight[found[hit]])
             both = np.bincount(pair[hit], both, minlength=len(z))
             out[z] = both / np.maximum(self.total[i[z]] + self.total[j[z]] - both, 1e-12)
         return out
@@ -266,6 +271,33 @@ class Compared:
         a, b = self.total[i], self.total[j]
         return np.minimum(a, b) >= (least - 1e-9) * np.maximum(a, b)
 
+    def near(self, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+        """Whether so few bits differ that two sets can be links; only for sets whose elements weigh 1.
+
+        Each bit that one set has and the other has not is an element, at least, that they do
+        not share; of such, links have ``(1 - least) / (1 + least)`` of both totals at most.
+        """
+        bits = self.sketches()
+        out = np.empty(len(i), bool)
+        for x in range(0, len(i), PAIRS):
+            z = slice(x, x + PAIRS)
+            apart = np.bitwise_count(bits[i[z]] ^ bits[j[z]]).sum(1, dtype=np.int64)
+            out[z] = apart <= (1 - least + 1e-6) / (1 + least) * (self.total[i[z]] + self.total[j[z]])
+        return out
+
+    def sketches(self) -> np.ndarray:
+        """For each item SKETCH_BITS bits, those set that one of its keys falls on."""
+        n = len(self.total)
+        out = np.empty((n, SKETCH_BITS // 64), U64)
+        bit = (self.sets.key >> U64(KEY_BITS - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+        for x in range(0, n, PAIRS):
+            y = min(x + PAIRS, n)
+            p, q = self.first[x], self.first[y]
+            held = np.zeros((y - x, SKETCH_BITS), bool)
+            held[self.sets.item[p:q] - x, bit[p:q]] = True
+            out[x:y] = np.packbits(held, axis=1).view(U64)
+        return out
+
     def shared(self, rows: np.ndarray, columns: np.ndarray, width: int = 2048) -> np.ndarray:
         """The weight that each row's set has in common with each column's, in single precision."""
         both = np.unique(np.concatenate([rows, columns]))
@@ -322,6 +354,9 @@ def across(state: DataFrame, sets: Callable[[pa.Array], Sets], least: float) ->
             i, j = i[pair], j[pair]
             ok = c.fits(item[i], item[j], least)
             i, j = i[ok], j[ok]
+            if c.plain:
+                ok = c.near(item[i], item[j], least)
+                i, j = i[ok], j[ok]
             ok = c.similarity(item[i], item[j]) >= least - 1e-9
             found = [(comp[i[ok]], comp[j[ok]])]
             for f, n in zip(first.tolist(), size.tolist()):

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from panelspark.llm import chunk_dedup, cube, decision_list, decontam, exchange, fuzzy_lines, icws, ngram_trie, orc_tokens, semicrf, url_lr
+from panelspark.llm import chunk_dedup, cube, decision_list, decontam, exchange, fuzzy_lines, icws, neardup, ngram_trie, orc_tokens, semicrf, url_lr
 from panelspark.llm import text as X
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -344,6 +344,40 @@ def test_fuzzy_lines(spark, none):
     assert fuzzy_lines.fuzzy_lines(none).count() == 0
 
 
+def test_lines_in_blocks(monkeypatch):
+    """Lines have the same ids, bands and sets however many characters are worked on at once."""
+    r = random.Random(8)
+    lines = [words(r, r.randint(1, 60)) for _ in range(40)] + ["", " ", " \t", "\t a", "  é日本", "日本" * 30, "x", words(r, 900)]
+    r.shuffle(lines)
+    t = X.texts_of(pa.array(["\n".join(lines), None, "", "\n".join(lines[::-1])]))
+
+    def all_of():
+        start, end, doc, number = fuzzy_lines.lines_of(t)
+        x, y = fuzzy_lines.places(t.data, start, end)
+        points = fuzzy_lines.characters(t.data)
+        some = [np.flatnonzero(y - x < fuzzy_lines.BELOW), np.flatnonzero(y - x >= fuzzy_lines.FROM)]
+        marked = pa.array([m + t.data[a:b].tobytes().decode() for m in "sl" for a, b in zip(start.tolist(), end.tolist())])
+        bands = [fuzzy_lines.bands(points, x[k], y[k], kind) for k, kind in zip(some, fuzzy_lines.KINDS)]
+        return [start, end, doc, number, *fuzzy_lines.identified(t, start, end, y - x), *bands, *fuzzy_lines.sets(marked)]
+
+    whole = all_of()
+    assert [(d, n) for d, n in zip(whole[2], whole[3])] == [(d, n) for d, s in ((0, lines), (3, lines[::-1])) for n, x in enumerate(s) if WORD.search(x)]
+    for block in (1, 50, 1000):
+        monkeypatch.setattr(fuzzy_lines, "BLOCK", block)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, all_of()))
+
+
+def test_unlike_lines_are_told_apart_by_bits():
+    r = random.Random(9)
+    base = [words(r, n) for n in range(2, 80)]
+    lines = sorted({s for b in base for s in (b, changed(r, b), changed(r, b, 2), b + " " + words(r, 1))})
+    c = neardup.Compared(fuzzy_lines.sets(pa.array(["l" + s for s in lines])), len(lines))
+    i, j = np.triu_indices(len(lines), 1)
+    near, alike = c.near(i, j, 0.8), c.similarity(i, j)
+    assert c.plain and near[alike >= 0.8].all() and (alike >= 0.8).sum() > 100
+    assert near[alike < 0.2].mean() < 0.1
+
+
 def test_short_lines_with_one_change(spark):
     """A changed year, counter or letter leaves a line of 39 characters and more alike."""
     r = random.Random(7)
